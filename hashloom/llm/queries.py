@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import simhash
+from hashloom.llm import langid, packing, pivots, records, simhash, urlfilter
+from hashloom.scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,41 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op5_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op6_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(_remainder(3) != 1))
+    return langid.predict(docs, *model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents")).drop("padding", "ids")
+
+
+def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "records")
+    records.write(_table(spark, sf_dir, "documents"), path)
+    return records.read(spark, path, with_ids=False).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_url_automaton": op4_url_automaton,
+    "op5_pivot_top_k": op5_pivot_top_k,
+    "op6_language_bayes": op6_language_bayes,
+    "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
+    "op10_binary_records": op10_binary_records,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_automaton": urlfilter.oracle_sql(), "op5_pivot_top_k": pivots.ORACLE}
