@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm._arrow import rows
-from hashloom.llm.encode import ChunkEncoder, crc, vocabulary_path
+from hashloom.llm.encode import crc, encoder, vocabulary_path
 
 Piece = tuple  # (item, start, length)
 
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = ChunkEncoder(vocabulary(), end_id), SumOfSquares(window)
+        encode, packer = encoder(vocabulary(), end_id).batch, SumOfSquares(window)
         serial = TaskContext.get().partitionId() << 36
         out: list[tuple] = []
 
@@ -123,9 +123,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             out.clear()
             return got
 
-        for b in rows(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = encoder.ids(text)
+        for b in rows(batches, 500):
+            for doc, data in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
                 total = len(data) // 4
                 whole = total - total % window
                 for start in range(0, whole, window):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.llm._arrow import rows
-from hashloom.llm.encode import ChunkEncoder, crc, vocabulary_path
+from hashloom.llm.encode import crc, encoder, vocabulary_path
 
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
@@ -75,12 +75,12 @@ def ids_of(payload: bytes) -> tuple[int | None, bytes]:
     return None if doc == NULL_ID else doc, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4").tobytes()
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: Callable[[], str] = vocabulary_path, partitions: int | None = None, file_bytes: int = 8 << 20) -> None:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: Callable[[], str] = vocabulary_path, partitions: int | None = None, file_bytes: int = 4 << 20) -> None:
     """Encode ``docs`` and write data and index files below ``path``, ascending by ``doc_id`` over ranges, files and records."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = ChunkEncoder(vocabulary(), end_id), TaskContext.get().partitionId()
+        encode, writer = encoder(vocabulary(), end_id).batch, TaskContext.get().partitionId()
         data, entries, before, serial, size = [], [], 0, 0, 20
 
         def close() -> pa.RecordBatch:
@@ -91,9 +91,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             data, entries, serial, size = [], [], serial + 1, 20
             return got
 
-        for b in rows(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text)
+        for b in rows(batches, 500):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
                 framed = frame(payload_of(doc, ids))
                 entries.append((NULL_ID if doc is None else doc, size, len(ids) // 4, before))
                 data.append(framed)
