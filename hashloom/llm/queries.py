@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import langid, packing, pivots, records, simhash, urlfilter
+from hashloom.llm import langid, packing, pivots, records, simhash, toxicity, urlfilter
 from hashloom.scratch import new_path
 
 
@@ -42,6 +42,12 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("padding", "ids")
 
 
+def op9_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(_remainder(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "records")
     records.write(_table(spark, sf_dir, "documents"), path)
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pivot_top_k": op5_pivot_top_k,
     "op6_language_bayes": op6_language_bayes,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
+    "op9_levenshtein_toxicity": op9_levenshtein_toxicity,
     "op10_binary_records": op10_binary_records,
 }
 
