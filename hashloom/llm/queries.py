@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import langid, packing, pivots, records, simhash, toxicity, urlfilter
+from hashloom.llm import langid, lattice, packing, pivots, records, simhash, toxicity, urlfilter
 from hashloom.scratch import new_path
 
 
@@ -20,6 +20,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(_table(spark, sf_dir, "documents"), _remainder(10) == 0)
+
+
 def op4_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_subword_lattice": op3_subword_lattice,
     "op4_url_automaton": op4_url_automaton,
     "op5_pivot_top_k": op5_pivot_top_k,
     "op6_language_bayes": op6_language_bayes,
