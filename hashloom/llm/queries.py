@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import langid, lattice, packing, pivots, records, simhash, toxicity, urlfilter
+from hashloom.llm import decontam, langid, lattice, packing, pivots, records, secrets, simhash, toxicity, urlfilter
 from hashloom.scratch import new_path
 
 
@@ -20,6 +20,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(_table(spark, sf_dir, "documents"), _remainder(10) == 0)
 
@@ -46,6 +50,10 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("padding", "ids")
 
 
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(_remainder(5) != 0))
@@ -60,11 +68,13 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_linked_secrets": op2_linked_secrets,
     "op3_subword_lattice": op3_subword_lattice,
     "op4_url_automaton": op4_url_automaton,
     "op5_pivot_top_k": op5_pivot_top_k,
     "op6_language_bayes": op6_language_bayes,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
+    "op8_latent_decontamination": op8_latent_decontamination,
     "op9_levenshtein_toxicity": op9_levenshtein_toxicity,
     "op10_binary_records": op10_binary_records,
 }
