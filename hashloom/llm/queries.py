@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_binary_records": op10_binary_records,
 }
 
-ORACLES: dict[str, str] = {"op4_url_automaton": urlfilter.oracle_sql(), "op5_pivot_top_k": pivots.ORACLE}
+ORACLES: dict[str, str] = {"op2_linked_secrets": secrets.oracle_sql(), "op4_url_automaton": urlfilter.oracle_sql(), "op5_pivot_top_k": pivots.ORACLE}
