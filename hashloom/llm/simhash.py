@@ -54,14 +54,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint's bit pattern as a signed long."""
+    """``(doc_id, h, fp)``: the text's hash, and the fingerprint's bit pattern as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _half(fp: Column, seg: int) -> Column:
@@ -122,15 +123,29 @@ def links(fps: DataFrame, max_bits: int = 3, hot: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3, hot: int = 64) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs``; ``component_id`` is the smallest reachable ``doc_id``."""
+    """``(doc_id, h, fp, root, component_id)`` for each row of ``docs``.
+
+    ``root`` is the component's smallest fingerprint, ``component_id`` the smallest reachable ``doc_id`` (null if all are null).
+    """
     marked, _ = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     comps = connected_components(links(distinct.select("fp"), max_bits, hot))
     inside = distinct.join(comps.withColumnRenamed("node", "fp"), "fp")
     lowest = inside.groupBy("component").agg(F.min("rep").alias("low"))
-    grouped = inside.join(lowest, "component").select("fp", "low")
-    named = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    grouped = inside.join(lowest, "component").select("fp", "low", "component")
+    named = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component with all its columns: that of the smallest id (then text hash); rows without an id come last."""
+    found, _ = materialize(near_duplicates(docs, id_col, text_col, **options), "components")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_kid"), F.col("k.h").alias("_kh"))
+    rows_of = docs.withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
+    out = rows_of.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kid")) & (F.col("_h") == F.col("_kh")), "left_semi")
+    if not found.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():  # whole rows repeat
+        out = out.dropDuplicates([id_col, "_h"])
+    return out.select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:
