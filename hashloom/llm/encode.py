@@ -1,12 +1,14 @@
-"""Token ids of whole texts with the ``tokenizers`` library.
-
-The word-level vocabularies used here never let a token reach across ASCII white space, so a text's
-ids are the ids of its white-space separated chunks in order.  Each distinct chunk goes through the
-library once per worker process and is then looked up; the ids are the library's own.  Two more steps cut the number of distinct
-chunks: ASCII capitals are lowered first (the vocabulary's normaliser lowers them anyway), and a chunk of
-letters with a tail of plain punctuation is the letters' ids and the tail's.  Texts where that could differ (special-token openings,
-combining marks after ASCII letters) skip the steps.  Tests compare with encoding whole texts; and a
-tokenizer file that fails a probe of these properties encodes whole texts.
+"""Token ids of whole texts with the ``tokenizers`` library, a batch of texts at a time.
+
+The word-level vocabularies used here never let a token reach across ASCII white space, so a text's ids are those of
+its white-space separated chunks in order.  A batch is split and its chunks are made distinct in Arrow; the library
+encodes each distinct chunk once, many chunks to a call with a separator token between them; and the
+ids are gathered back in numpy.  Three more properties keep the distinct chunks few and cheap: ASCII capitals may
+be lowered first; a chunk that ends in an ASCII letter and plain punctuation has the letters' ids and then the punctuation's;
+and a chunk of ASCII letters alone passes normaliser and pre-tokenizer unchanged.
+
+Texts where these could fail (special-token openings; combining marks after ASCII letters) are encoded whole, and
+so is everything if the tokenizer file fails the probes of these properties.  Tests compare with whole encoding.
 """
 
 from __future__ import annotations
@@ -14,77 +16,131 @@ from __future__ import annotations
 import functools
 import os
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from hashloom.llm._arrow import utf8
+PROBES = ("A don't  B\tcé\n ''s x1 23!? \x0b\x0c z, (ok)$$$ It's.", "The THE, the... theorem ÉCOLE, naïve-ish 3.14 a\x1cb c\x85d e\xa0f", "z. z,, z!? z$$$ z#*&%;: éé. İx")
+TAILED = r"^(?P<base>.*[a-z])(?P<tail>[.,;:!?$%&*#]+)$"
+MARK = "\x01"
+JOINED = 256  # chunks to one call of the library
+BATCH_BYTES = 32 << 20
+GATHER = 500  # texts whose ids are gathered at once
 
-PROBE = "A don't  B\tcé\n<|endoftext|> ''s x1 23!? \x0b\x0c z, (ok)$$$ It's."
-CACHE = 300_000
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-TAIL = b".,;:!?$%&*#"
-LETTERS = frozenset(range(97, 123))
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start[i] : start[i] + size[i]]`` for each i of ``index``, one after another."""
+    n = size[index]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start[index] - (ends - n), n) + np.arange(total)]
 
-class ChunkEncoder:
-    """``batch(texts)``: ids as little-endian unsigned 32-bit bytes, with ``end_id`` appended when one is given."""
 
+class TextEncoder:
     def __init__(self, path: str, end_id: int | None = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.known: dict[bytes, bytes] = {}
-        self.apart = self.lowered = self.checked = False
-        self.apart = self.batch([PROBE]) == [self._whole(PROBE) + self.end] and b"".join(map(self._whole, PROBE.split())) == self._whole(PROBE)
-        self.lowered = self.apart and self._whole(PROBE.lower()) == self._whole(PROBE) and all(self._whole(f"z{t}") == self._whole("z") + self._whole(t) for t in (".", ",,", "!?", "$$$", "#*&%;:"))
-        self.checked = True
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunks(self, text: str | None) -> list[bytes]:
-        data = utf8(text)
-        if self.lowered and b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
-            data = data.translate(LOWER)
-        return data.split()
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, parts = self.known, {}
-        if self.lowered:
-            for c in new:
-                base = c.rstrip(TAIL)
-                if base and len(base) < len(c) and base[-1] in LETTERS and b"<|" not in c:
-                    parts[c] = (base, c[len(base) :])
-            ask = list(({c for c in new if c not in parts} | {x for p in parts.values() for x in p}) - known.keys())
-        else:
-            ask = list(new)
-        for at in range(0, len(ask), 8192):
-            part = ask[at : at + 8192]
-            got = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            for c, e in zip(part, got, strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, (base, tail) in parts.items():
-            known[c] = known[base] + known[tail]
-
-    def batch(self, texts: Sequence[str | None]) -> list[bytes]:
-        if self.checked and not self.apart:
-            return [self._whole(t or "") + self.end for t in texts]
-        split = [self._chunks(t) for t in texts]
-        distinct = set().union(*split)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        self._learn(distinct - self.known.keys())
-        known = self.known
-        return [b"".join([known[c] for c in chunks]) + self.end for chunks in split]
+        self.end = np.array([] if end_id is None else [end_id], np.uint32)
+        self.letters = Tokenizer.from_str(self.tokenizer.to_str())
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = [t.encode(f" {MARK} ", add_special_tokens=False).ids for t in (self.tokenizer, self.letters)]
+        self.mark = mark[0][0] if len(mark[0]) == 1 and mark[0] == mark[1] else None
+        self.by_chunk = self.mark is not None
+        if self.by_chunk:
+            probes = pa.array(PROBES)
+            self.by_chunk = all(np.array_equal(a, self._whole(t)) for a, t in zip(self._by_chunk(probes), PROBES, strict=True))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.concatenate([np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32), self.end])
+
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, sizes)`` of distinct chunks, in their order."""
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, c in enumerate(chunks):
+            kinds[2 if MARK in c else 0 if c.isascii() and c.isalpha() and c.islower() else 1].append(k)
+        sizes = np.zeros(len(chunks), np.int64)
+        flats, order = [], []
+        for tokenizer, at in ((self.letters, kinds[0]), (self.tokenizer, kinds[1])):
+            for first in range(0, len(at), 64 * JOINED):
+                part = at[first : first + 64 * JOINED]
+                joined = [f" {MARK} ".join([chunks[k] for k in part[i : i + JOINED]]) + f" {MARK}" for i in range(0, len(part), JOINED)]
+                ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+                marks = np.flatnonzero(ids == self.mark)
+                sizes[part] = np.diff(marks, prepend=-1) - 1
+                flats.append(ids[ids != self.mark])
+                order.append(np.array(part))
+        for k in kinds[2]:
+            ids = np.array(self.tokenizer.encode(chunks[k], add_special_tokens=False).ids, np.uint32)
+            sizes[k] = len(ids)
+            flats.append(ids)
+            order.append(np.array([k]))
+        if not flats:
+            return np.zeros(0, np.uint32), sizes
+        order, flat = np.concatenate(order), np.concatenate(flats)
+        start = np.zeros(len(chunks), np.int64)
+        start[order] = np.cumsum(sizes[order]) - sizes[order]
+        return gather(flat, start, sizes, np.arange(len(chunks))), sizes
+
+    def _by_chunk(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        tailed = pc.extract_regex(coded.dictionary, TAILED)
+        has = tailed.is_valid()
+        base = pc.if_else(has, pc.struct_field(tailed, "base"), coded.dictionary).dictionary_encode()
+        tail = pc.if_else(has, pc.struct_field(tailed, "tail"), "").dictionary_encode()
+        chunks = base.dictionary.to_pylist() + tail.dictionary.to_pylist()
+        flat, sizes = self._encode(chunks)
+        start = np.cumsum(sizes) - sizes
+        pairs = np.stack([base.indices.to_numpy(), tail.indices.to_numpy() + len(base.dictionary)], axis=1).astype(np.int64)
+        # ids of whole chunks, and the end id as one more chunk
+        ids = np.concatenate([gather(flat, start, sizes, pairs.ravel()), self.end])
+        size = np.append(sizes[pairs].sum(axis=1), len(self.end))
+        begin = np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        offsets = split.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        for at in range(0, len(texts), GATHER):
+            cut = offsets[at : at + GATHER + 1]
+            cells = np.insert(index[cut[0] : cut[-1]].astype(np.int64), cut[1:] - cut[0], len(size) - 1)
+            got = gather(ids, begin, size, cells)
+            ends = np.cumsum(size[cells])[(cut[1:] - cut[0]) + np.arange(len(cut) - 1)]
+            yield from np.split(got, ends[:-1])
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids (uint32, the end id appended) of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            yield from map(self._whole, texts.to_pylist())
+            return
+        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[̀-ͯ]")).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            yield from self._by_chunk(texts)
+            return
+        rest = self._by_chunk(texts.filter(pa.array(~odd)))
+        for k, is_odd in enumerate(odd):
+            yield self._whole(texts[k].as_py()) if is_odd else next(rest)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a column's texts take about ``size`` bytes in each (a longer text stands alone)."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, end_id: int | None = 1) -> ChunkEncoder:
-    """One encoder for a worker process, so that later tasks find the chunks that earlier ones looked up."""
-    return ChunkEncoder(path, end_id)
+def encoder(path: str, end_id: int | None = 1) -> TextEncoder:
+    return TextEncoder(path, end_id)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -94,5 +150,6 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)
+def crc(ids: np.ndarray) -> int:
+    """Checksum of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))

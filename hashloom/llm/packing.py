@@ -26,8 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm._arrow import rows
-from hashloom.llm.encode import crc, encoder, vocabulary_path
+from hashloom.llm.encode import crc, encoder, slices, vocabulary_path
 
 Piece = tuple  # (item, start, length)
 
@@ -113,8 +112,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             nonlocal serial
             offset = 0
             for (doc, data, first, total), start, length in held:
-                part = data[4 * (start - first) : 4 * (start - first + length)]
-                out.append((doc, start, length, crc(part), total, serial, offset, 0, part if with_ids else None))
+                part = data[start - first : start - first + length]
+                out.append((doc, start, length, crc(part), total, serial, offset, 0, part.tobytes() if with_ids else None))
                 offset += length
             serial += 1
 
@@ -123,16 +122,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             out.clear()
             return got
 
-        for b in rows(batches, 500):
-            for doc, data in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                total = len(data) // 4
+        for b in slices(batches, 1):
+            for doc, data in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                total = len(data)
                 whole = total - total % window
                 for start in range(0, whole, window):
                     emit([((doc, data, 0, total), start, window)])
-                if total > whole and (full := packer.place(((doc, data[4 * whole :], whole, total), whole, total - whole))):
+                if total > whole and (full := packer.place(((doc, data[whole:].copy(), whole, total), whole, total - whole))):
                     emit(full)
-            if len(out) > 5000:
-                yield batch()
+                if len(out) > 5000:
+                    yield batch()
         for held in packer.finish():
             emit(held)
         if out:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.llm._arrow import rows
-from hashloom.llm.encode import crc, encoder, vocabulary_path
+from hashloom.llm.encode import crc, encoder, slices, vocabulary_path
 
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
@@ -64,15 +64,14 @@ def unframe(data: bytes, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + size
 
 
-def payload_of(doc_id: int | None, ids: bytes) -> bytes:
-    wide = np.frombuffer(ids, "<u4")
-    width = 2 if not len(wide) or wide.max() < 65536 else 4
-    return struct.pack("<qB", NULL_ID if doc_id is None else doc_id, width) + (wide.astype("<u2").tobytes() if width == 2 else ids)
+def payload_of(doc_id: int | None, ids: np.ndarray) -> bytes:
+    width = 2 if not len(ids) or ids.max() < 65536 else 4
+    return struct.pack("<qB", NULL_ID if doc_id is None else doc_id, width) + ids.astype(f"<u{width}").tobytes()
 
 
-def ids_of(payload: bytes) -> tuple[int | None, bytes]:
+def ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc, width = struct.unpack_from("<qB", payload)
-    return None if doc == NULL_ID else doc, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4").tobytes()
+    return None if doc == NULL_ID else doc, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: Callable[[], str] = vocabulary_path, partitions: int | None = None, file_bytes: int = 4 << 20) -> None:
@@ -91,12 +90,12 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             data, entries, serial, size = [], [], serial + 1, 20
             return got
 
-        for b in rows(batches, 500):
-            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+        for b in slices(batches, 1):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 framed = frame(payload_of(doc, ids))
-                entries.append((NULL_ID if doc is None else doc, size, len(ids) // 4, before))
+                entries.append((NULL_ID if doc is None else doc, size, len(ids), before))
                 data.append(framed)
-                size, before = size + len(framed), before + len(ids) // 4
+                size, before = size + len(framed), before + len(ids)
                 if size >= file_bytes:
                     yield close()
         if entries:
@@ -147,14 +146,14 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
             while at < len(raw) - 1:
                 payload, at = unframe(raw, at)
                 doc, ids = ids_of(payload)
-                out.append((doc, start, len(ids) // 4, crc(ids), ids if with_ids else None))
-                start += len(ids) // 4
+                out.append((doc, start, len(ids), crc(ids), ids.tobytes() if with_ids else None))
+                start += len(ids)
             types = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return _files(spark, path, "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def read_at(data: bytes, offset: int) -> tuple[int | None, bytes]:
+def read_at(data: bytes, offset: int) -> tuple[int | None, np.ndarray]:
     """One record of a data file by the offset its index gives: ``(doc_id, ids)``."""
     return ids_of(unframe(data, offset)[0])
