@@ -31,7 +31,7 @@ def at_most(hash_: Column, scaled: int, bits: int = 64) -> Column:
 def unsigned(hash_: Column) -> Column:
     """The hash as a non-negative decimal."""
     wide = hash_.cast("decimal(20,0)")
-    return F.when(hash_ < 0, (wide + F.lit(TOP).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(wide)
+    return F.when(hash_ < 0, (wide + F.lit(str(TOP)).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(wide)
 
 
 def unsigned_order(hash_: Column) -> Column:
