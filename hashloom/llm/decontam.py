@@ -28,24 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm._arrow import rows
+from hashloom.llm._text import plain_words
 from hashloom.scratch import materialize, remove
 
 BLOCK = 32
 FEATURES = 1 << 14
-QUOTES = "“”«»„’‘…—–"
-PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 STEP = 1024  # blocks that are projected at once
 
 
-def words_of(text: str | None) -> list[bytes]:
-    text = (text or "").lower()
-    if not text.isascii():
-        for q in QUOTES:
-            if q in text:
-                text = text.replace(q, " ")
-    return text.encode("utf-8", "replace").translate(PLAIN).split()
-
-
 def split_passages(words: list, longest: int) -> list[list]:
     """The words cut into the fewest equal parts of at most ``longest``."""
     n = max(1, -(-len(words) // longest))
@@ -55,7 +45,7 @@ def split_passages(words: list, longest: int) -> list[list]:
 def passages(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, longest: int, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            out = [(i, k, p, words_of(a)) for i, t, a in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, p in enumerate(split_passages(words_of(t), longest)) if len(p) >= least_words]
+            out = [(i, k, p, plain_words(a)) for i, t, a in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, p in enumerate(split_passages(plain_words(t), longest)) if len(p) >= least_words]
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["item_id", "part", "words", "answer"])
@@ -72,7 +62,7 @@ def numbered(docs: DataFrame, vocab: dict[bytes, int], id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
         for b in rows(batches):
-            ids = [np.array([v.get(w, 0) for w in words_of(t)], kind).tobytes() for t in b.column(1).to_pylist()]
+            ids = [np.array([v.get(w, 0) for w in plain_words(t)], kind).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")
@@ -171,6 +161,7 @@ class Index:
         self.word = (np.arange(len(idf)) % FEATURES).astype(np.int64)
         self.weight = idf.astype(np.float32)
         self.masks: dict[int, dict[int, int]] = {}
+        self.reach = max((len(ids) for _, _, ids, _ in items), default=0)
 
     def project(self, ids: np.ndarray) -> np.ndarray:
         """Latent vector of each block of one document."""
@@ -201,9 +192,20 @@ class Index:
             out += zip(cos[i, j].tolist(), w[i].tolist(), j.tolist(), strict=True)
         return sorted(out, reverse=True)
 
-    def verify(self, ids: np.ndarray, window: int, passage: int, least_lcs: float, paraphrase_lcs: float) -> tuple[float, bool, bool]:
-        """``(share of the passage in the common subsequence, answer found, leak)``."""
+    def verify(self, ids: np.ndarray, window: int, passage: int, least_lcs: float, paraphrase_lcs: float, held: dict | None = None) -> tuple[float, bool, bool]:
+        """``(share of the passage in the common subsequence, answer found, leak)``; ``held`` keeps what candidates of a document share.
+
+        No common subsequence is longer than the number of passage words that stand near the window at all, which is
+        counted first.
+        """
         _, _, words, answer = self.items[passage]
+        held = {} if held is None else held
+        there = held.get(window)
+        if there is None:
+            there = held[window] = set(ids[max(0, window * BLOCK - self.reach) : (window + 2) * BLOCK + self.reach].tolist())
+        if len([t for t in words if t in there]) < paraphrase_lcs * len(words):
+            return 0.0, False, False
+        near = ids[max(0, window * BLOCK - len(words)) : (window + 2) * BLOCK + len(words)].tolist()
         masks = self.masks.get(passage)
         if masks is None:
             if len(self.masks) > 20_000:
@@ -211,14 +213,9 @@ class Index:
             masks = self.masks[passage] = {}
             for k, t in enumerate(words):
                 masks[t] = masks.get(t, 0) | 1 << k
-        low = max(0, window * BLOCK - len(words))
-        near = ids[low : (window + 2) * BLOCK + len(words)].tolist()
         share = lcs_length(masks, len(words), near) / len(words)
-        if share < paraphrase_lcs:
-            return share, False, False
-        there = set(near)
         found = bool(answer) and sum(t in there for t in answer) >= 0.8 * len(answer)
-        return share, found, share >= least_lcs or found
+        return share, found, share >= least_lcs or (share >= paraphrase_lcs and found)
 
 
 def _search(tokens: DataFrame, index: Index, kind: str, least_cosine: float, least_lcs: float, paraphrase_lcs: float) -> DataFrame:
@@ -231,10 +228,11 @@ def _search(tokens: DataFrame, index: Index, kind: str, least_cosine: float, lea
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(raw, kind)
                 best: dict[int, tuple] = {}
+                shared: dict = {}
                 for cos, w, p in ix.candidates(ids, least_cosine):
                     if p in best and best[p][1] >= least_lcs:
                         continue
-                    share, found, leak = ix.verify(ids, w, p, least_lcs, paraphrase_lcs)
+                    share, found, leak = ix.verify(ids, w, p, least_lcs, paraphrase_lcs, shared)
                     if leak and (p not in best or share > best[p][1]):
                         best[p] = (cos, share, found, w * BLOCK)
                 out += [(doc, ix.items[p][0], ix.items[p][1], *v) for p, v in best.items()]
@@ -248,7 +246,7 @@ def _search(tokens: DataFrame, index: Index, kind: str, least_cosine: float, lea
 SCHEMA = "doc_id long, item_id long, part long, cosine double, lcs double, answer boolean, word long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, longest: int = 64, least_words: int = 5, rank: int = 128, least_cosine: float = 0.3, least_lcs: float = 0.8, paraphrase_lcs: float = 0.6, part_words: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, longest: int = 64, least_words: int = 5, rank: int = 128, least_cosine: float = 0.5, least_lcs: float = 0.8, paraphrase_lcs: float = 0.6, part_words: int = 1_000_000) -> DataFrame:
     """``(doc_id, item_id, part, cosine, lcs, answer, word)``: a row for each document row and benchmark passage that leaked into it.
 
     ``word`` is the number of the document's word at which the window begins.
