@@ -61,30 +61,39 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def scores(block: Block, q: np.ndarray, at: np.ndarray) -> list[int]:
+def scores(block: Block, q: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Exact inner products with the rows ``at``, held to the range of a long."""
     if block.largest * np.abs(q).max(initial=0.0) * max(1, len(q)) < EXACT:
-        return (block.x[at] @ q).astype(np.int64).tolist()
+        return (block.x[at] @ q).astype(np.int64)
     whole = [int(v) for v in q]
-    return [max(LOW, min(-LOW - 1, sum(int(v) * w for v, w in zip(row, whole, strict=True)))) for row in block.x[at]]
+    return np.array([max(LOW, min(-LOW - 1, sum(int(v) * w for v, w in zip(row, whole, strict=True)))) for row in block.x[at]], np.int64)
 
 
 def search_block(block: Block, qid: int, q: np.ndarray, dq: np.ndarray, best: list[tuple[int, int]], k: int, step: int = 64) -> list[tuple[int, int]]:
     """``best`` (score, -id) with the block's rows taken in; rows whose id is ``qid`` are left out."""
-    bound = np.abs(block.table - dq).max(axis=1) if len(dq) else np.zeros(len(block.ids))
     whole = float(q @ q) + block.radius2
-    upper = (whole - bound * bound) / 2 + 1e-6 * (1 + whole)  # rounding in distances, squared, stays below 2e-7 of the whole
-    if len(best) == k:
-        keep = np.flatnonzero(upper >= best[-1][0])
+    if len(dq):
+        bound = np.abs(block.table[:, 0] - dq[0])
+        for p in range(1, len(dq)):
+            np.maximum(bound, np.abs(block.table[:, p] - dq[p]), out=bound)
     else:
-        keep = np.arange(len(upper))
+        bound = np.zeros(len(block.ids))
+    upper = (whole - bound * bound) / 2 + 1e-6 * (1 + whole)  # rounding in distances, squared, stays below 2e-7 of the whole
+    keep = np.flatnonzero(upper >= best[-1][0]) if len(best) == k else np.arange(len(upper))
     order = keep[np.argsort(-upper[keep], kind="stable")]
-    for at in range(0, len(order), step):
+    at = 0
+    while at < len(order):
         part = order[at : at + step]
         if len(best) == k and upper[part[0]] < best[-1][0]:
             break
-        got = [(s, -int(i)) for s, i in zip(scores(block, q, part), block.ids[part], strict=True) if i != qid]
-        best = sorted(best + got, reverse=True)[:k]
+        got, ids = scores(block, q, part), block.ids[part]
+        use = ids != qid
+        if len(best) == k:
+            use &= got >= best[-1][0]
+        got, ids = got[use], ids[use]
+        top = np.lexsort((ids, -got))[:k]
+        best = sorted(best + [(int(got[t]), -int(ids[t])) for t in top], reverse=True)[:k]
+        at, step = at + len(part), min(4 * step, 4096)
     return best
 
 
@@ -107,7 +116,7 @@ def _blocks(vectors: DataFrame, size: int, pivots: int = 0) -> DataFrame:
             serial += 1
             ids, data = np.array([p[0] for p in part], "<i8"), np.array([p[1] for p in part], "<f8").reshape(len(part), dim)
             chosen, table, radius2 = pivot_table(data, pivots)
-            values = [serial, dim, len(part), ids.tobytes(), data.tobytes(), chosen.tobytes(), table.tobytes(), radius2]
+            values = [serial, dim, len(part), ids.tobytes(), data.tobytes(), chosen.tobytes(), table.tobytes(order="F"), radius2]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["block", "dim", "n", "ids", "data", "pivots", "table", "radius2"])
 
         for b in batches:
@@ -160,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
                     best = [[] for _ in qids]
                 c = row["c"].as_py()
                 marks = np.frombuffer(c["pivots"], "<f8").reshape(-1, dim + 1)
-                held = Block(np.frombuffer(c["ids"], "<i8"), np.frombuffer(c["data"], "<f8").reshape(c["n"], dim), marks, np.frombuffer(c["table"], "<f8").reshape(c["n"], len(marks)), c["radius2"])
+                held = Block(np.frombuffer(c["ids"], "<i8"), np.frombuffer(c["data"], "<f8").reshape(c["n"], dim), marks, np.frombuffer(c["table"], "<f8").reshape(c["n"], len(marks), order="F"), c["radius2"])
                 to_pivots = distances(np.concatenate([qs, np.zeros((len(qs), 1))], axis=1), held.pivots)
                 best = [search_block(held, int(i), qs[j], to_pivots[j], best[j], k) for j, i in enumerate(qids)]
         if key is not None:
