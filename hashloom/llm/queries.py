@@ -40,10 +40,14 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def _held_out(n: int, k: int) -> Column:
+    return F.coalesce(_remainder(n) == k, F.lit(False))
+
+
 def op6_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(_remainder(3) != 1))
-    return langid.predict(docs, *model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, *model).select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(_remainder(5) != 0))
-    return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
 def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:

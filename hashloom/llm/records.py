@@ -107,7 +107,11 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def _files(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, kind string, part string").load(path).filter(F.col("kind") == kind).select("content")
+    folder = f"{path}/kind={kind}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):  # nothing was written
+        return spark.createDataFrame([], "content binary")
+    return spark.read.format("binaryFile").load(folder).select("content")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
