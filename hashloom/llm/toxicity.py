@@ -4,8 +4,8 @@ Lexicon.  Entries are whole words or stems (word beginnings) that labelled docum
 ``learn_lexicon`` picks them from document frequencies by label, or a caller brings a list.
 
 Matching.  The entries form a trie.  The Levenshtein automaton of a lexicon entry accepts what lies within
-its edit budget (none below five letters, one from five, two from ten; the first letter stays; stems take no
-edits).  All the automata run together over the trie: a state is a set of (trie node, edits spent), and states are
+its edit budget (none below five letters, one from five, two from ten; the first letter stays; stems, and words that
+few toxic documents hold, take no edits).  All the automata run together over the trie: a state is a set of (trie node, edits spent), and states are
 determinised as words reach them, so a word costs one table look-up a letter and most words die
 after a few letters.
 
@@ -21,8 +21,10 @@ labels, or 0 without labels.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -32,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm._arrow import rows
+from hashloom.llm._arrow import rows, utf8
+from hashloom.llm._text import plain_words
 from hashloom.scratch import materialize
 
-WORD = re.compile(r"\w+")
+WORD = re.compile(r"[^\W_]+")
 MARKS = re.compile(r'["“”«»„]')
 WINDOW = 6
 REPORTING = frozenset("said says wrote writes quoted quote called calls dit écrit sagte schrieb dijo escribió".split())
@@ -46,22 +49,28 @@ FEATURES = 7
 
 
 def chunks(text: str) -> Iterator[str]:
-    """Lower-cased pieces of about a million code points, cut at white space where there is any."""
+    """Pieces of about a million code points, cut at white space where there is any."""
     at = 0
     while at < len(text):
         end = at + CHUNK
         if end < len(text):
             cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
             end = cut if cut > at else end
-        yield text[at:end].lower()
+        yield text[at:end]
         at = end
 
 
 @dataclass
 class Lexicon:
-    """Entries with weights; a key that ends with ``*`` is a stem."""
+    """Entries with weights; a key that ends with ``*`` is a stem.  Only ``firm`` words take edits (None: all words)."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    firm: frozenset[str] | None = None
+
+    def edits(self, entry: str) -> int:
+        if entry.endswith("*") or len(entry) < 5 or (self.firm is not None and entry not in self.firm):
+            return 0
+        return 1 if len(entry) < 10 else 2
 
     def __post_init__(self) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -70,7 +79,7 @@ class Lexicon:
         self.budget: list[int] = [0]  # the most that any entry below may spend
         for entry in sorted(self.weights):
             text, is_stem = entry.rstrip("*"), entry.endswith("*")
-            spend = 0 if is_stem or len(text) < 5 else 1 if len(text) < 10 else 2
+            spend = self.edits(entry)
             node = 0
             self.budget[0] = max(self.budget[0], spend)
             for c in text:
@@ -88,7 +97,7 @@ class Lexicon:
                 self.word[node] = entry
         self.start = frozenset({(0, 0)})
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
-        self.memo: dict[str, tuple[str, int] | None] = {}
+        self.memo: dict[bytes, tuple[str, int] | None] = {}
 
     def _step(self, state: frozenset, c: str) -> frozenset:
         """States after one letter: match, substitution and insertion, then any deletions."""
@@ -128,41 +137,42 @@ class Lexicon:
                     best = (0, self.stem[node])
         for node, spent in state:
             entry = self.word[node]
-            if entry and spent <= (0 if len(entry) < 5 else 1 if len(entry) < 10 else 2) and (best is None or (spent, entry) < best):
+            if entry and spent <= self.edits(entry) and (best is None or (spent, entry) < best):
                 best = (spent, entry)
         return (best[1], best[0]) if best else None
 
-    def lookup(self, words: Iterable[str]) -> dict[str, tuple[str, int]]:
+    def lookup(self, words: Iterable[bytes]) -> dict[str, tuple[str, int]]:
+        """The words that match an entry, with what they match."""
         memo, found = self.memo, {}
-        if len(memo) > 300_000:
+        if len(memo) > 400_000:
             memo.clear()
         for w in words:
             try:
                 hit = memo[w]
             except KeyError:
-                hit = memo[w] = self.find(w)
+                hit = memo[w] = self.find(w.decode())
             if hit:
-                found[w] = hit
+                found[w.decode()] = hit
         return found
 
     def features(self, text: str | None) -> np.ndarray:
         """Feature vector of a whole text."""
         exact = edited = quoted = aimed = weight = n = 0.0
         for part in chunks(text or ""):
-            words = WORD.findall(part)
-            n += len(words)
-            hits = self.lookup(set(words))
+            plain = plain_words(part)
+            n += len(plain)
+            hits = self.lookup(set(plain))
             if not hits:
                 continue
-            places = [m.start() for m in WORD.finditer(part)]
-            marks = np.array([m.start() for m in MARKS.finditer(part)])
-            for k, w in enumerate(words):
-                if w not in hits:
-                    continue
-                entry, spent = hits[w]
+            part = part.lower()
+            words = WORD.findall(part)
+            marks = [m.start() for m in MARKS.finditer(part)]
+            places = [m.start() for m in WORD.finditer(part)] if marks else []
+            for k in [k for k, w in enumerate(words) if w in hits]:
+                entry, spent = hits[words[k]]
                 near = words[max(0, k - WINDOW) : k + WINDOW + 1]
-                inside = bool(np.searchsorted(marks, places[k]) % 2) and np.searchsorted(marks, places[k]) < len(marks)
-                is_quoted = inside or not REPORTING.isdisjoint(near)
+                before = bisect.bisect_left(marks, places[k]) if marks else 0
+                is_quoted = bool(before % 2 and before < len(marks)) or not REPORTING.isdisjoint(near)
                 exact += not spent
                 edited += bool(spent)
                 quoted += is_quoted
@@ -173,16 +183,18 @@ class Lexicon:
 
 def terms(text: str) -> set[str]:
     """The distinct words of a text and their beginnings (``STEMS`` letters, marked ``*``)."""
-    words = {w for part in chunks(text) for w in WORD.findall(part) if not w.isdigit()}
+    words = {w.decode() for part in chunks(text) for w in plain_words(part) if not w.isdigit()}
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def learn_lexicon(sample: DataFrame, least_docs: int = 3, least_gain: float = 20.0, most: int = 4096) -> Lexicon:
+def learn_lexicon(sample: DataFrame, least_docs: int = 3, least_gain: float = 20.0, most: int = 4096, firm_share: float = 0.01) -> Lexicon:
     """Entries from ``sample(text, label)``: terms far more frequent in documents labelled 1, by a likelihood ratio.
 
     A term needs ``least_docs`` toxic documents, a ratio statistic of ``least_gain`` and a toxic share of at least 0.8; a
-    stem that qualifies covers everything that begins with it.  ``most`` bounds the lexicon, strongest entries first.
+    stem that qualifies covers everything that begins with it.  ``most`` bounds the lexicon, strongest entries first.  Words of at
+    least ``firm_share`` of the toxic documents take edits.  Equal texts count once.
     """
+    sample = sample.dropDuplicates(["text", "label"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -228,7 +240,24 @@ def learn_lexicon(sample: DataFrame, least_docs: int = 3, least_gain: float = 20
         text = t.rstrip("*")
         return any(text[:k] in stems for k in STEMS if k < len(text)) or (t.endswith("*") and text not in stems)
 
-    return Lexicon({t: w for t, w in weights.items() if not covered(t)})
+    firm = frozenset(t for t, a in seen.items() if a >= firm_share * p)
+    return Lexicon({t: w for t, w in weights.items() if not covered(t)}, firm)
+
+
+def misspelled(text: str, firm: frozenset[str]) -> str:
+    """The text with each word that takes edits spelled with one: in turn a letter replaced, dropped or doubled in its middle."""
+    turn = 0
+
+    def change(m: re.Match) -> str:
+        nonlocal turn
+        w = m[0]
+        if len(w) < 5 or w.lower() not in firm:
+            return w
+        turn += 1
+        k = len(w) // 2
+        return w[:k] + ("0", "", 2 * w[k])[turn % 3] + w[k + 1 :]
+
+    return WORD.sub(change, text)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -251,11 +280,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 class Model:
     lexicon: dict[str, float]
     weights: list[float]
+    firm: frozenset[str] | None = None
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000) -> Model:
     """Lexicon and logistic weights from at most ``sample`` labelled rows, a quarter of them toxic at most.
 
+    Every third toxic text is learned from a second time with its insults misspelled.
+
     The rows are those of the lowest hash of the id, so the choice does not depend on order or size; their ids are what is
     broadcast.  Rows with a null id or label take no part.
     """
@@ -265,20 +297,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "_id")
     held, _ = materialize(texts.select("text", "label"), "labelled")
     lexicon = learn_lexicon(held)
-    weights = lexicon.weights
+    weights, firm = lexicon.weights, lexicon.firm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(weights)
+        lex = Lexicon(weights, firm)
         for b in rows(batches):
-            f = [lex.features(t).tolist() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], ["f", "label"])
-
-    got = held.mapInArrow(run, "f array<double>, label int").toPandas()  # at most ``sample`` rows
+            f, y = [], []
+            for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                f.append(lex.features(t).tolist())
+                if label and t and firm and zlib.crc32(utf8(t)) % 3 == 0:  # teaches what an edited hit is worth
+                    f.append(lex.features(misspelled(t, firm)).tolist())
+                y += [label] * (len(f) - len(y))
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["f", "label"])
+
+    got = held.mapInArrow(run, "f array<double>, label int").toPandas()  # at most 4/3 of ``sample`` rows
     y = got["label"].to_numpy(np.float64) if len(got) else np.zeros(0)
     if not len(y) or y.min() == y.max():
         share = min(max(y.mean() if len(y) else 0.0, 1e-12), 1 - 1e-12)
         return Model({}, [math.log(share / (1 - share))] + [0.0] * (FEATURES - 1))
-    return Model(weights, fit_logistic(np.stack(got["f"].to_list()), y).tolist())
+    return Model(weights, fit_logistic(np.stack(got["f"].to_list()), y).tolist(), firm)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +323,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, w = Lexicon(held.value.lexicon), np.array(held.value.weights)
+        lex, w = Lexicon(held.value.lexicon, held.value.firm), np.array(held.value.weights)
         for b in rows(batches):
             s = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, float(lex.features(t) @ w))))) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -300,7 +337,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, w = Lexicon(held.value.lexicon), np.array(held.value.weights)
+        lex, w = Lexicon(held.value.lexicon, held.value.firm), np.array(held.value.weights)
         for b in rows(batches):
             yield b.filter(pa.array([float(lex.features(t) @ w) < 0.0 for t in b.column(at).to_pylist()], pa.bool_()))
 
