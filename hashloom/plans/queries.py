@@ -321,26 +321,26 @@ def _gathered(df: DataFrame) -> DataFrame:
 
 @_query("fastmultigather", _gather_sql([DOCS, BENCH], "docs", "bench", 3, 12))
 def fastmultigather(spark: SparkSession, sf: str) -> DataFrame:
-    return _gathered(G.gather(V.shingles(spark, sf, "documents"), V.shingles(spark, sf, "benchmark"), threshold_bp=3, keep_ids=True))
+    return _gathered(G.gather(V.stored(V.shingles(spark, sf, "documents")), V.shingles(spark, sf, "benchmark"), threshold_bp=3, keep_ids=True))
 
 
 @_query("fastgather", _gather_sql([NATION, BASKET], "nation_basket", "basket", 30, 24, "id = 7"))
 def fastgather(spark: SparkSession, sf: str) -> DataFrame:
-    nations = V.nation_parts(spark, sf)
+    nations = V.stored(V.nation_parts(spark, sf))
     one = type(nations)(nations.manifest.filter("sketch_id = 7"), nations.postings.filter("sketch_id = 7"), nations.bits)
-    return _gathered(G.fastgather(one, V.supplier_parts(spark, sf), threshold_bp=30, keep_ids=True))
+    return _gathered(G.fastgather(one, V.stored(V.supplier_parts(spark, sf)), threshold_bp=30, keep_ids=True))
 
 
 @_query("fastmultigather_indexed", _gather_sql([DOCS, BENCH], "docs", "bench", 1, 16))
 def fastmultigather_indexed(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "index")
     X.build(V.shingles(spark, sf, "benchmark"), path)
-    return _gathered(X.indexed_gather(V.shingles(spark, sf, "documents"), spark, path, threshold_bp=1, keep_ids=True))
+    return _gathered(X.indexed_gather(V.stored(V.shingles(spark, sf, "documents")), spark, path, threshold_bp=1, keep_ids=True))
 
 
 @_query("save_matches", f"with {DOCS}, {BENCH}, {_pairs('docs', 'bench')} select distinct d.id query_id, d.hash from docs d join bench b using (hash) join ov on ov.qid = d.id and ov.mid = b.id and ov.ov >= 3")
 def save_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return G.saved_matches(V.shingles(spark, sf, "documents"), V.shingles(spark, sf, "benchmark"), threshold_bp=3)
+    return G.saved_matches(V.stored(V.shingles(spark, sf, "documents")), V.shingles(spark, sf, "benchmark"), threshold_bp=3)
 
 
 # -- clusters -----------------------------------------------------------------------------------------------------

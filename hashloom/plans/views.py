@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.model import Sketches, from_rows
+from hashloom.scratch import materialize
+from hashloom.session import spread
 
 SHINGLE_BITS = 60
 
@@ -23,10 +25,17 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str = "text", n: int =
     return gram.select("id", F.conv(F.substring(F.md5(F.col("g").cast("binary")), 1, 15), 16, 10).cast("bigint").alias("hash"))
 
 
+def stored(sk: Sketches) -> Sketches:
+    """The collection with its postings written once, for plans that read them several times."""
+    postings, _ = materialize(sk.postings, "postings")
+    return Sketches(sk.manifest, postings, sk.bits)
+
+
 def shingles(spark: SparkSession, sf_dir: str, table: str, abund: bool = True) -> Sketches:
     id_col = {"documents": "doc_id", "benchmark": "item_id"}[table]
     docs = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return from_rows(shingle_rows(docs, id_col), "id", "hash", abund=abund, bits=SHINGLE_BITS, keep=docs.select(F.col(id_col).alias("id")))
+    rows = shingle_rows(spread(docs.select(id_col, "text")), id_col)
+    return from_rows(rows, "id", "hash", abund=abund, bits=SHINGLE_BITS, keep=docs.select(F.col(id_col).alias("id")))
 
 
 def supplier_parts(spark: SparkSession, sf_dir: str, abund: bool = True) -> Sketches:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -30,6 +30,15 @@ def session(app: str = "hashloom", master: str | None = None, **conf: str) -> Sp
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores.
+
+    Only an input of fewer partitions (a few small files) is dealt out anew; a large one has more of its own and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once, unless their Python path or working folder already has it."""
     context = spark.sparkContext
