@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from hashloom.llm import decontam, langid, lattice, packing, pivots, records, secrets, simhash, toxicity, urlfilter
 from hashloom.scratch import new_path
+from hashloom.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def op9_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "records")
-    records.write(_table(spark, sf_dir, "documents"), path)
+    records.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return records.read(spark, path, with_ids=False).drop("ids")
 
 
