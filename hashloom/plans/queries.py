@@ -16,8 +16,10 @@ from hashloom.operators import index as X
 from hashloom.operators import overlap as J
 from hashloom.operators import significance as S
 from hashloom.operators.cluster import cluster, members, sizes
+from hashloom.operators.sketch import sketch
 from hashloom.plans import views as V
 from hashloom.scratch import new_path
+from hashloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -432,3 +434,32 @@ def collection_union(spark: SparkSession, sf: str) -> DataFrame:
         return type(sk)(sk.manifest.withColumn("sketch_id", name), sk.postings.withColumn("sketch_id", name), sk.bits)
 
     return tagged(V.supplier_parts(spark, sf), "s").union(tagged(V.nation_parts(spark, sf), "n")).postings.select("sketch_id", "hash", "abund")
+
+
+# -- sequences: the letters of the texts read as nucleotides and residues (no SQL: the hash is not one of DuckDB's) ----------
+
+
+def _sequences(spark: SparkSession, sf: str, kind: str, letters: str) -> DataFrame:
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    seq = F.regexp_replace(F.upper("text"), f"[^{letters}]", "").cast("binary")
+    name = F.col("doc_id").cast("string")
+    return docs.select(name.alias("name"), F.lit(kind).alias("input_moltype"), F.lit(None).cast("string").alias("filename"), name.alias("record_id"), seq.alias("seq"))
+
+
+def _sketched(rows: DataFrame, params: str) -> DataFrame:
+    return sketch(rows, params).manifest.select("name", "moltype", "ksize", "ksize_nt", "scaled", "num", "with_abundance", "n_hashes", "md5")
+
+
+@_query("dna_sketch")
+def dna_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return _sketched(_sequences(spark, sf, "dna", "ACGT"), "dna,k=11,scaled=5,abund_dna,k=15,num=50")
+
+
+@_query("protein_sketch")
+def protein_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return _sketched(_sequences(spark, sf, "protein", "A-Z"), "protein,k=7,scaled=5_dayhoff,k=10,scaled=5_hp,k=16,scaled=5")
+
+
+@_query("skipmer_sketch")
+def skipmer_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return _sketched(_sequences(spark, sf, "dna", "ACGT"), "skipm1n3,k=9,scaled=5_skipm2n3,k=11,scaled=5")
