@@ -8,6 +8,8 @@ an executor's own memory or disk.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only in local mode when it is unset."""
+    """The session's checkpoint folder; a temporary one is set only in local mode when it is unset, and removed at exit."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="hashloom-")
+    folder = tempfile.mkdtemp(prefix="hashloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
