@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from hashloom.llm._arrow import rows
 
 SPAN = 1 << 18  # code points that are hashed at once
+MATRIX_BYTES = 256 << 20  # the largest matrix that is broadcast
 
 
 def _spans(text: str) -> Iterator[str]:
@@ -46,7 +47,8 @@ def grams(text: str, buckets: int, first: bool = True) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = 1 << 15) -> tuple[list[str], np.ndarray]:
     """Languages in ascending order and the matrix (buckets, languages) of smoothed log probabilities, the prior in a last row.
 
-    Rows whose text or language is null take no part.  The counts cover every row given.
+    Rows whose text or language is null take no part.  The counts cover every row given.  A matrix above ``MATRIX_BYTES`` is an
+    error that says to take fewer buckets (1,000 languages fit at the default).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +66,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bucke
     usable = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     cells = usable.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages x buckets rows
     langs = sorted(cells["lang"].unique())
+    if len(langs) * buckets * 8 > MATRIX_BYTES:
+        raise ValueError(f"{len(langs)} languages of {buckets} buckets exceed {MATRIX_BYTES} bytes: train with fewer buckets")
     count = np.zeros((buckets + 1, len(langs)))
     count[cells["bucket"].to_numpy(), np.searchsorted(langs, cells["lang"].to_numpy())] = cells["n"]
     grown = count[:buckets] + 0.5

@@ -41,6 +41,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 START = "▁"
 END = b""  # the end token: no word is empty
 SMOOTH = 0.1
+HEAD_BYTES = 64  # longer words are never broadcast
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -225,7 +226,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     scored, _ = materialize(words.select("word", "n", "c").mapInArrow(lattice_logs, "word binary, n long, c long, lp double"), "scored")
     least = _threshold(scored, head)
     floor = n + SMOOTH * (v + 1)
-    top = scored.filter(F.col("n") >= least).toPandas()  # ``head`` rows at most
+    in_head = (F.col("n") >= least) & (F.octet_length("word") <= HEAD_BYTES)
+    top = scored.filter(in_head).toPandas()  # ``head`` rows at most, each of a bounded length
     base_logs = np.log10((top["c"].to_numpy(np.float64) + SMOOTH) / floor)
     common = spark.sparkContext.broadcast({bytes(w): (float(b), float(p), int(c > 0)) for w, b, p, c in zip(top["word"], base_logs, top["lp"], top["c"], strict=True)})
 
@@ -258,7 +260,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), out.alias("held_out"))
     first, _ = materialize(source.mapInArrow(texts, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, lat double, rare array<binary>, times array<long>"), "texts")
     rest = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("k"))
-    found = rest.join(scored.filter(F.col("n") < least).select("word", "c", "lp"), "word")
+    found = rest.join(scored.filter(~in_head).select("word", "c", "lp"), "word")
     tail = found.select(
         "row", F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("n_known"), (F.col("k") * F.log10((F.col("c") + SMOOTH) / F.lit(floor))).alias("base"), (F.col("k") * F.col("lp")).alias("lat")
     )

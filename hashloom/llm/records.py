@@ -101,7 +101,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if entries:
             yield close()
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, "kind string, part string, value binary").select("kind", "part", F.col("value").cast("string")).write.partitionBy("kind", "part").text(path)
 

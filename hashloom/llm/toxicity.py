@@ -46,6 +46,7 @@ ADDRESS = frozenset("you your you're youre u tu toi vous du dich dein ihr tú us
 STEMS = (3, 4, 5, 6, 7)
 CHUNK = 1 << 20
 FEATURES = 7
+LONGEST = 64  # bytes of a word that the lexicon may learn
 
 
 def chunks(text: str) -> Iterator[str]:
@@ -183,7 +184,7 @@ class Lexicon:
 
 def terms(text: str) -> set[str]:
     """The distinct words of a text and their beginnings (``STEMS`` letters, marked ``*``)."""
-    words = {w.decode() for part in chunks(text) for w in plain_words(part) if not w.isdigit()}
+    words = {w.decode() for part in chunks(text) for w in plain_words(part) if len(w) <= LONGEST and not w.isdigit()}
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
