@@ -72,7 +72,9 @@ class Lattice:
         self.tails = {p[k:] for p in pieces for k in range(len(p))}
         self.bytes = logs[len(pieces) : len(pieces) + 256].tolist()
         self.end = float(logs[-1])
-        self.last, self.alpha = "", [0.0]
+        self.last: str = ""
+        self.alpha: list[float] = [0.0]
+        self.edges: list[list[tuple[int, float]]] = [[]]
 
     def edges_to(self, u: str, j: int) -> list[tuple[int, float]]:
         """Pieces of ``u`` that end at ``j``: their starts and scores; a character outside the vocabulary goes by its bytes."""
@@ -89,24 +91,29 @@ class Lattice:
             i -= 1
         return out
 
-    def log_prob(self, word: bytes) -> float:
-        """Natural log of the word's marginal probability; what a word shares with the last one is not computed again."""
-        if word == END:
-            return self.end
-        u = START + word.decode("utf-8", "replace")
+    def _forward(self, u: str) -> None:
+        """Bring ``alpha`` (and ``edges``) to ``u``; what it shares with the last text is not computed again."""
         keep = 0
         for a, b in zip(u, self.last, strict=False):
             if a != b:
                 break
             keep += 1
-        alpha = self.alpha
-        del alpha[keep + 1 :]
+        alpha, edges = self.alpha, self.edges
+        del alpha[keep + 1 :], edges[keep + 1 :]
         for j in range(keep + 1, len(u) + 1):
-            terms = [alpha[i] + lp for i, lp in self.edges_to(u, j)]
+            e = self.edges_to(u, j)
+            terms = [alpha[i] + lp for i, lp in e]
             high = max(terms)
             alpha.append(high if len(terms) == 1 else high + math.log(sum([math.exp(t - high) for t in terms])))
+            edges.append(e)
         self.last = u
-        return alpha[-1]
+
+    def log_prob(self, word: bytes) -> float:
+        """Natural log of the word's marginal probability; words in order share the work of their common beginnings."""
+        if word == END:
+            return self.end
+        self._forward(START + word.decode("utf-8", "replace"))
+        return self.alpha[-1]
 
     def expect(self, word: bytes, count: float, into: np.ndarray) -> None:
         """Add ``count`` times the expected uses of each piece in the word."""
@@ -115,13 +122,8 @@ class Lattice:
             return
         u = START + word.decode("utf-8", "replace")
         n = len(u)
-        alpha, edges = [0.0], [[]]
-        for j in range(1, n + 1):
-            e = self.edges_to(u, j)
-            terms = [alpha[i] + lp for i, lp in e]
-            high = max(terms)
-            alpha.append(high if len(terms) == 1 else high + math.log(sum([math.exp(t - high) for t in terms])))
-            edges.append(e)
+        self._forward(u)
+        alpha, edges = self.alpha, self.edges
         mass = [0.0] * n + [count]  # expected passes through each position
         index, first = self.index, len(self.vocab)
         for j in range(n, 0, -1):
@@ -177,8 +179,8 @@ def fit(words: DataFrame, vocabulary: Callable[[], str] = vocabulary_path) -> np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(vocabulary())
         lattice, total = Lattice(pieces, first_logs(pieces)), np.zeros(len(pieces) + 257)
-        for b in rows(batches):
-            for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in batches:
+            for word, c in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 lattice.expect(word, c, total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])

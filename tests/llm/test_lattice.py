@@ -50,6 +50,12 @@ def test_expected_counts_add_up():
     lat.expect(b"ab", 2.0, into)
     # letters covered by the pieces used: the start mark, a and b, twice each
     assert sum(len(p) * into[k] for k, p in enumerate(pieces)) == pytest.approx(6.0)
+    # words in a row, which share beginnings, count as they do alone
+    fresh, alone = np.zeros(len(into)), np.zeros(len(into))
+    for w in (b"ab", b"abb", b"ab", b"b", b"abba", b"zab"):
+        lat.expect(w, 1.0, fresh)
+        lattice.Lattice(pieces, lattice.first_logs(pieces)).expect(w, 1.0, alone)
+    assert np.allclose(fresh, alone)
     lat.expect(lattice.END, 3.0, into)
     assert into[-1] == 3.0
 
