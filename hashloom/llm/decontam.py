@@ -7,9 +7,12 @@
    ``A'G`` with a Gaussian G and then the Gram matrix of A in the range found are summed over the distributed passages, and
    only matrices of (features x rank) and (rank x rank) reach the driver.
 5. Each window of two neighbouring blocks is projected and compared with all passages; cosines of ``least_cosine`` make candidates.
-6. A candidate is verified on the words around its window: a bit-parallel longest common subsequence covers ``least_lcs`` of
-   the passage, or ``paraphrase_lcs`` of it and the answer check holds: most of the answer's words (the passage's rarest
-   ones, or the words of ``answer_col``) stand there too.
+6. A short passage is a small part of such a window, and a fixed rank blurs a large benchmark, so the cosine decides nothing alone:
+   every stretch of two passage lengths (one begins at each half length) that holds as many of the passage's rarest words as the
+   least subsequence implies is a candidate too, whatever its cosine.
+7. A candidate is verified on the words around its window, or in its stretch: a bit-parallel longest common subsequence covers
+   ``least_lcs`` of the passage, or ``paraphrase_lcs`` of it and the answer check holds: most of the answer's words (the passage's
+   rarest ones, or the words of ``answer_col``) stand there too.
 
 A benchmark of any size is worked on in parts of at most ``part_words`` words, so that what is broadcast is bounded.
 Words are lower-cased and free of ASCII and typographic punctuation, so added marks and case changes do not hide a leak.
@@ -20,6 +23,7 @@ results; null ids are kept; extra columns are ignored; an empty benchmark or tab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,7 @@ from hashloom.scratch import materialize, remove
 BLOCK = 32
 FEATURES = 1 << 14
 STEP = 1024  # blocks that are projected at once
+SLAB = 256  # words at which the stretches begin that are looked through at once
 
 
 def split_passages(words: list, longest: int) -> list[list]:
@@ -192,6 +197,76 @@ class Index:
             out += zip(cos[i, j].tolist(), w[i].tolist(), j.tolist(), strict=True)
         return sorted(out, reverse=True)
 
+    def prepare(self, least: float) -> None:
+        """The net that ``stretches`` casts for subsequences of the share ``least``.
+
+        If at most ``n - m`` of a passage's n words may be missing, at least ``k - (n - m)`` of any k of them are there; the k
+        rarest are taken, so that common words cost nothing.
+        """
+        owners: list[list[int]] = [[] for _ in range(len(self.idf))]
+        times: list[list[int]] = [[] for _ in range(len(self.idf))]
+        self.need, self.rare = np.zeros(len(self.items), np.int64), []
+        for p, (_, _, ids, _) in enumerate(self.items):
+            missing = len(ids) - max(1, math.ceil(least * len(ids) - 1e-9))
+            k = min(len(ids), missing + max(1, len(ids) // 5))
+            words, n = np.unique(sorted(ids, key=lambda t: (-self.idf[t], t))[:k], return_counts=True)
+            self.need[p] = k - missing
+            self.rare.append(words)
+            for t, c in zip(words.tolist(), n.tolist(), strict=True):
+                owners[t].append(p)
+                times[t].append(c)
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in owners])])
+        self.owner = np.array([p for x in owners for p in x], np.int64)
+        self.times = np.array([c for x in times for c in x], np.int64)
+        self.mark = np.zeros(len(self.idf), bool)
+
+    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """``(first word, passage)`` of all stretches that may hold the passage by the number of its rarest words in them."""
+        for at in range(0, len(ids) if len(self.items) else 0, SLAB):
+            part = ids[at : at + SLAB + 2 * self.reach]
+            seen = np.unique(part)
+            low = self.first[seen]
+            n = self.first[seen + 1] - low
+            entries = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            there = np.bincount(self.owner[entries], self.times[entries], len(self.items))
+            for p in np.flatnonzero(there >= self.need).tolist():
+                size = len(self.items[p][2])
+                self.mark[self.rare[p]] = True
+                hits = np.flatnonzero(self.mark[part])
+                self.mark[self.rare[p]] = False
+                begin = np.arange(0, min(SLAB, len(ids) - at), max(1, size // 2))
+                inside = np.searchsorted(hits, begin + 2 * size) - np.searchsorted(hits, begin)
+                for b in begin[inside >= self.need[p]].tolist():
+                    yield at + b, p
+
+    def cosine(self, ids: np.ndarray, passage: int) -> float:
+        at, x = tfidf(ids.astype(np.int64), self.idf)
+        v = x.astype(np.float32) @ self.basis[at]
+        return float(v @ self.latent[passage] / max(float(np.linalg.norm(v)), 1e-12))
+
+    def share(self, passage: int, near: list[int]) -> float:
+        """The share of the passage in its common subsequence with ``near``."""
+        words = self.items[passage][2]
+        masks = self.masks.get(passage)
+        if masks is None:
+            if len(self.masks) > 20_000:
+                self.masks.clear()
+            masks = self.masks[passage] = {}
+            for k, t in enumerate(words):
+                masks[t] = masks.get(t, 0) | 1 << k
+        return lcs_length(masks, len(words), near) / len(words)
+
+    def verify_stretch(self, ids: np.ndarray, first: int, passage: int, least_lcs: float, paraphrase_lcs: float) -> tuple[float, bool, bool]:
+        """As ``verify``, in the stretch of two passage lengths from ``first`` on."""
+        _, _, words, answer = self.items[passage]
+        last = first + 2 * len(words)
+        share = self.share(passage, ids[first:last].tolist())
+        if share < min(least_lcs, paraphrase_lcs):
+            return share, False, False
+        there = set(ids[max(0, first - self.reach) : last + self.reach].tolist())
+        found = bool(answer) and sum(t in there for t in answer) >= 0.8 * len(answer)
+        return share, found, share >= least_lcs or (share >= paraphrase_lcs and found)
+
     def verify(self, ids: np.ndarray, window: int, passage: int, least_lcs: float, paraphrase_lcs: float, held: dict | None = None) -> tuple[float, bool, bool]:
         """``(share of the passage in the common subsequence, answer found, leak)``; ``held`` keeps what candidates of a document share.
 
@@ -206,14 +281,7 @@ class Index:
         if len([t for t in words if t in there]) < paraphrase_lcs * len(words):
             return 0.0, False, False
         near = ids[max(0, window * BLOCK - len(words)) : (window + 2) * BLOCK + len(words)].tolist()
-        masks = self.masks.get(passage)
-        if masks is None:
-            if len(self.masks) > 20_000:
-                self.masks.clear()
-            masks = self.masks[passage] = {}
-            for k, t in enumerate(words):
-                masks[t] = masks.get(t, 0) | 1 << k
-        share = lcs_length(masks, len(words), near) / len(words)
+        share = self.share(passage, near)
         found = bool(answer) and sum(t in there for t in answer) >= 0.8 * len(answer)
         return share, found, share >= least_lcs or (share >= paraphrase_lcs and found)
 
@@ -223,6 +291,7 @@ def _search(tokens: DataFrame, index: Index, kind: str, least_cosine: float, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = Index(*held.value)
+        ix.prepare(min(least_lcs, paraphrase_lcs))
         for b in rows(batches):
             out = []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -235,6 +304,12 @@ def _search(tokens: DataFrame, index: Index, kind: str, least_cosine: float, lea
                     share, found, leak = ix.verify(ids, w, p, least_lcs, paraphrase_lcs, shared)
                     if leak and (p not in best or share > best[p][1]):
                         best[p] = (cos, share, found, w * BLOCK)
+                for first, p in ix.stretches(ids):
+                    if p in best and best[p][1] >= least_lcs:
+                        continue
+                    share, found, leak = ix.verify_stretch(ids, first, p, least_lcs, paraphrase_lcs)
+                    if leak and (p not in best or share > best[p][1]):
+                        best[p] = (ix.cosine(ids[first : first + 2 * len(ix.items[p][2])], p), share, found, first)
                 out += [(doc, ix.items[p][0], ix.items[p][1], *v) for p, v in best.items()]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
             cols = list(zip(*out, strict=True)) or [[] for _ in types]

@@ -92,3 +92,20 @@ def test_latent_space_keeps_passages_apart(spark):
     index = D.Index([(k, 0, [vocab[w] for w in x], []) for k, x in enumerate(items)], idf, basis)
     for k, x in enumerate(items):
         assert index.candidates(np.array([vocab[w] for w in x], np.uint16), 0.5)[0][2] == k
+
+
+def test_short_passages_of_a_large_benchmark(spark):
+    """Far more passages than latent dimensions, each a small part of a window: unchanged ones are all found, also near long documents' ends."""
+    rnd, text, _ = corpus(9)
+    words = text(4000)
+    pick = lambda k: [words[int(len(words) * rnd.random() ** 2)] for _ in range(k)]
+    items = [pick(rnd.randint(8, 29)) for _ in range(2000)]
+    docs = [pick(rnd.choice([0, 3, 200, 700])) for _ in range(400)]
+    want = {(k, 5 * k) for k in range(400)}
+    for k, words_of in enumerate(docs):
+        at = rnd.choice([0, len(words_of), rnd.randrange(len(words_of) + 1)])
+        words_of[at:at] = items[5 * k]
+    df = documents(spark, [(k, " ".join(w)) for k, w in enumerate(docs)])
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(df, bench).collect() if r.lcs >= 0.8}
+    assert want <= got and all(plain_lcs(items[i], docs[d]) >= 0.8 * len(items[i]) for d, i in got)
