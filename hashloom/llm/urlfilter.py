@@ -9,7 +9,8 @@ one for each number of symbols consumed.  On a character ``c`` the state becomes
 ``reach[c]`` has a bit for each position that ``c`` leads to, ``loop`` one for each position where the
 glob has ``*``.  Shifts carry across words.  URLs are simulated in batches: one numpy step advances
 every URL of the batch by one byte, so the work is (longest URL) x (words), whatever the number of rules
-that match.  ``?`` stands for one byte, ``*`` for any run of bytes, empty ones included.
+that match.  ``?`` stands for one byte, ``*`` for any run of bytes, empty ones included.  As ``*`` runs
+across slashes too, what the automaton finds for a rule is held against the host and the path before it counts.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ class Rule:
     def globs(self) -> tuple[str, str]:
         return f"{self.name}*", f"*.{self.name}*"
 
+    def fits(self, host: str, path: str) -> bool:
+        return (host == self.host or host.endswith("." + self.host)) and path.startswith(self.path)
+
 
 RULES = (
     Rule("com", "/", "allow"),
@@ -135,7 +139,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 verdict = np.where(blocks, "block", "allow").astype(object)
                 for k in reversed(by_length):
                     for row in np.flatnonzero(hit[:, 2 * k] | hit[:, 2 * k + 1]):
-                        rule[row], verdict[row] = rules[k].name, rules[k].verdict
+                        if rules[k].fits(*parts[row]):
+                            rule[row], verdict[row] = rules[k].name, rules[k].verdict
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in parts]), pa.array([p for _, p in parts]), pa.array(rule, pa.string()), pa.array(list(verdict), pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")

@@ -68,3 +68,18 @@ def test_batches(n):
     a = U.Automaton(["*.com/*", "h?.com/pp*"])
     whole = a.match(urls)
     assert np.array_equal(np.concatenate([a.match(urls[k : k + n]) for k in range(0, 50, n)]), whole)
+
+
+def test_rules_fit_the_host_only(spark):
+    """A rule's host in the path (archives, redirects, proxies) is no host."""
+    cases = [
+        ("http://a.org/x.net/es/1", None, "allow"),
+        ("http://archive.example.org/web/www.foo.com/a", None, "allow"),
+        ("http://a.org/m.example.com/en/1", None, "allow"),
+        ("http://b.org/casino/x.com/a", None, "block"),
+        ("http://a.net/fr/x.com/a", "net/fr/", "block"),
+        ("http://a.com/x.net/es/1", "com/", "allow"),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.filter_urls(df).collect()}
+    assert [got[k] for k in range(len(cases))] == [c[1:] for c in cases]
