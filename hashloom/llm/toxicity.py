@@ -4,10 +4,10 @@ Lexicon.  Entries are whole words or stems (word beginnings) that labelled docum
 ``learn_lexicon`` picks them from document frequencies by label, or a caller brings a list.
 
 Matching.  The entries form a trie.  The Levenshtein automaton of a lexicon entry accepts what lies within
-its edit budget (none below five letters, one from five, two from ten; the first letter stays; stems, and words that
-few toxic documents hold, take no edits).  All the automata run together over the trie: a state is a set of (trie node, edits spent), and states are
+its edit budget (none below five letters, one from five, two from ten; the first letter stays; stems take no edits).  All the automata run together over the trie: a state is a set of (trie node, edits spent), and states are
 determinised as words reach them, so a word costs one table look-up a letter and most words die
-after a few letters.
+after a few letters.  An entry of d edits, cut into d + 1 pieces, leaves one piece whole in whatever it matches; words
+that hold no such piece are told by a few set look-ups and never reach the automaton.
 
 Context.  A hit inside quotation marks or near a reporting word within ``WINDOW`` words counts as quoted,
 one near a word of direct address as aimed.  The document's features (log counts of exact,
@@ -63,7 +63,7 @@ def chunks(text: str) -> Iterator[str]:
 
 @dataclass
 class Lexicon:
-    """Entries with weights; a key that ends with ``*`` is a stem.  Only ``firm`` words take edits (None: all words)."""
+    """Entries with weights; a key that ends with ``*`` is a stem.  Only ``firm`` words take edits (None: all words), which ``learn_lexicon`` makes all it learned."""
 
     weights: dict[str, float] = field(default_factory=dict)
     firm: frozenset[str] | None = None
@@ -96,6 +96,23 @@ class Lexicon:
                 self.stem[node] = entry
             else:
                 self.word[node] = entry
+        self.whole = {e.encode() for e in self.weights if not e.endswith("*")}
+        self.begins = {e[:-1].encode() for e in self.weights if e.endswith("*")}
+        self.begin_sizes = sorted({len(e) for e in self.begins})
+        self.pieces: set[tuple[str, int, int, str]] = set()
+        layout: dict[tuple[str, int], set[tuple[int, int]]] = {}
+        for entry in self.weights:
+            spend = self.edits(entry)
+            cuts = [1 + k * (len(entry) - 1) // (spend + 1) for k in range(spend + 2)] if spend else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                # edits before and after the piece shift it and change the length, never more than there are
+                for size in range(len(entry) - spend, len(entry) + spend + 1):
+                    for at in range(max(1, a - spend), a + spend + 1):
+                        before, after = abs(at - a), abs((size - at) - (len(entry) - a))
+                        if before + after <= spend and (before == 0 or a > 1) and (after == 0 or b < len(entry)) and at + b - a <= size:
+                            self.pieces.add((entry[0], size, at, entry[a:b]))
+                            layout.setdefault((entry[0], size), set()).add((at, at + b - a))
+        self.layout = {k: sorted(v) for k, v in layout.items()}
         self.start = frozenset({(0, 0)})
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.memo: dict[bytes, tuple[str, int] | None] = {}
@@ -142,6 +159,20 @@ class Lexicon:
                 best = (spent, entry)
         return (best[1], best[0]) if best else None
 
+    def possible(self, w: bytes) -> bool:
+        """False only for words that match no entry."""
+        if w in self.whole:
+            return True
+        for k in self.begin_sizes:
+            if w[:k] in self.begins:
+                return True
+        word = w.decode()
+        size, pieces = len(word), self.pieces
+        for a, b in self.layout.get((word[:1], size), ()):
+            if (word[0], size, a, word[a:b]) in pieces:
+                return True
+        return False
+
     def lookup(self, words: Iterable[bytes]) -> dict[str, tuple[str, int]]:
         """The words that match an entry, with what they match."""
         memo, found = self.memo, {}
@@ -151,7 +182,7 @@ class Lexicon:
             try:
                 hit = memo[w]
             except KeyError:
-                hit = memo[w] = self.find(w.decode())
+                hit = memo[w] = self.find(w.decode()) if self.possible(w) else None
             if hit:
                 found[w.decode()] = hit
         return found
@@ -188,12 +219,12 @@ def terms(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def learn_lexicon(sample: DataFrame, least_docs: int = 3, least_gain: float = 20.0, most: int = 4096, firm_share: float = 0.01) -> Lexicon:
+def learn_lexicon(sample: DataFrame, least_docs: int = 3, least_gain: float = 20.0, most: int = 4096) -> Lexicon:
     """Entries from ``sample(text, label)``: terms far more frequent in documents labelled 1, by a likelihood ratio.
 
     A term needs ``least_docs`` toxic documents, a ratio statistic of ``least_gain`` and a toxic share of at least 0.8; a
-    stem that qualifies covers everything that begins with it.  ``most`` bounds the lexicon, strongest entries first.  Words of at
-    least ``firm_share`` of the toxic documents take edits.  Equal texts count once.
+    stem that qualifies covers everything that begins with it.  ``most`` bounds the lexicon, strongest entries first.  Equal texts
+    count once.
     """
     sample = sample.dropDuplicates(["text", "label"])
 
@@ -241,8 +272,7 @@ def learn_lexicon(sample: DataFrame, least_docs: int = 3, least_gain: float = 20
         text = t.rstrip("*")
         return any(text[:k] in stems for k in STEMS if k < len(text)) or (t.endswith("*") and text not in stems)
 
-    firm = frozenset(t for t, a in seen.items() if a >= firm_share * p)
-    return Lexicon({t: w for t, w in weights.items() if not covered(t)}, firm)
+    return Lexicon({t: w for t, w in weights.items() if not covered(t)}, frozenset(t for t in seen if not t.endswith("*")))
 
 
 def misspelled(text: str, firm: frozenset[str]) -> str:

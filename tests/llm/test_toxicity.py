@@ -110,3 +110,21 @@ def test_very_long_words_and_chunks(monkeypatch):
     assert "".join(T.chunks(text)) == text
     assert T.Lexicon({"moron": 1.0}).features(text)[1] > 0
     assert F is not None
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.sampled_from(WORDS + ["abcdeabcdeab", "ab*"]), st.lists(st.tuples(st.integers(0, 14), st.sampled_from(["", "a", "é", "e"]), st.booleans()), max_size=3))
+def test_no_match_is_told_impossible(word, edits):
+    lex = T.Lexicon(dict.fromkeys([*WORDS, "abcdeabcdeab", "éabcdé", "ab*"], 1.0))
+    for at, c, instead in edits:
+        word = word[:at] + c + word[at + instead :]
+    hit = lex.find(word)
+    assert lex.lookup([word.encode()]) == ({word: hit} if hit else {})
+
+
+def test_rare_insults_take_edits(spark):
+    """An insult in few of very many toxic documents is found misspelled too."""
+    rows = [(f"moron clown text{k} more{k % 7}", 1) for k in range(1500)] + [(f"grumblehead text{k}", 1) for k in range(12)] + [(f"text{k} plain{k % 7} words", 0) for k in range(4500)]
+    lex = T.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert lex.find("grumblehead") == ("grumblehead", 0)
+    assert lex.find("grumb1ehead") == ("grumblehead", 1) and lex.find("moro0n") == ("moron", 1)
