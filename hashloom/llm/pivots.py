@@ -135,13 +135,14 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
 
     ``is_query`` is a condition on ``id_col``.  Ties go to the smaller id.  A row is no candidate of queries with its own id.  Vectors that
     are null or hold null or non-finite components, and null ids, take no part; vectors of different lengths have no product and are not
-    compared; an empty vector scores 0 with other empty ones.  Repeated ids are searched each (a repeated query id gives its rows once).  Products beyond a long are
+    compared; an empty vector scores 0 with other empty ones.  Repeated ids are searched each (a query id repeated with one vector counts once; with
+    different vectors the k largest products of all of them are given).  Products beyond a long are
     held at its limits.
     """
     spark = vectors.sparkSession
     usable = vectors.select(F.col(id_col).cast("long").alias(id_col), quantized(F.col(vec_col), scale).alias("v")).filter(F.col(id_col).isNotNull() & F.col("v").isNotNull())
     cand, _ = materialize(_blocks(usable, block, pivots), "candidates")
-    query, _ = materialize(_blocks(usable.filter(is_query).dropDuplicates([id_col]).coalesce(max(1, spark.sparkContext.defaultParallelism)), query_block), "queries")
+    query, _ = materialize(_blocks(usable.filter(is_query).dropDuplicates([id_col, "v"]).coalesce(max(1, spark.sparkContext.defaultParallelism)), query_block), "queries")
     lane = lanes or spark.sparkContext.defaultParallelism
     # a lane is a slice of the candidate blocks; each query block meets each lane in one task
     cand = cand.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lane).cast("long"))).select("lane", "dim", F.struct("n", "ids", "data", "pivots", "table", "radius2").alias("c"), F.col("block").alias("cb"))

@@ -81,3 +81,11 @@ def test_elimination_skips_far_rows():
         pivots.scores = plain
     exact = sorted(((int(s), -k) for k, s in enumerate(x @ q)), reverse=True)[:5]
     assert best == exact and seen < len(x)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_query_id_with_other_vectors(spark, parts):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 5.0]), (3, [1.0, 0.0]), (4, [0.0, -9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
+    got = sorted(tuple(r) for r in pivots.top_k(df, F.col("vec_id") == 0, k=3).collect())
+    assert got == [(0, 1, 2, 5 << 16), (0, 2, 1, 3 << 16), (0, 3, 3, 1 << 16)]
