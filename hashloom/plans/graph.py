@@ -5,8 +5,7 @@ smallest node it knows (large star), then every node points its smaller neighbou
 the smallest of them (small star).  The edge count never grows beyond the first symmetrised
 table, the number of rounds is logarithmic in practice, and the minima are plain ``groupBy``
 aggregates with map-side combination, so a hub with a third of all edges costs one row per map
-task.  The join that spreads the minima is an ordinary equi-join whose hot partitions adaptive
-execution may split.
+task.  The join that spreads the minima deals the edges of such a hub to several tasks.
 """
 
 from __future__ import annotations
@@ -14,20 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.plans.hot import join_salted
 from hashloom.scratch import materialize, remove
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     sym = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = sym.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-    moved = sym.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-    return moved.filter("src <> dst").distinct()
+    least = sym.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n"))
+    moved = join_salted(sym.filter("dst > src"), least.select("src", F.least("src", "low").alias("low")), "src", "dst", least.select("src", "n"))
+    return moved.select(F.col("dst").alias("src"), F.col("low").alias("dst")).filter("src <> dst").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("src").agg(F.min("dst").alias("low"))
-    moved = edges.join(least, "src").filter("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-    return moved.unionByName(least.select("src", F.col("low").alias("dst"))).distinct()
+    least = edges.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n"))
+    low = least.select("src", "low")
+    moved = join_salted(edges, low, "src", "dst", least.select("src", "n")).filter("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+    return moved.unionByName(low.select("src", F.col("low").alias("dst"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
