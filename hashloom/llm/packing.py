@@ -6,11 +6,12 @@ the sum of the squared counts ends up least: into an open window of some level,
 Ties go to the fullest level, so a document that completes a window wins a tie.  One step looks at an array as long as the window,
 whatever the number of documents.
 
-Every partition packs its own stream, so nothing is shuffled, and a lost task repeats with the same
-result.  A partition's windows that are still open at its end are emptied into one another: the
-least-filled windows' pieces are cut to fill the fullest, and the last window that stays partial is cut
-into windows whose lengths are powers of two, which need no padding.  Padding is therefore zero; cuts
-beyond those that long documents need are confined to the windows open at the end.
+Encoding and placement are two passes.  The first encodes texts where they lie and writes one short row for each piece to shared
+storage; full windows of long documents are done then.  The second places the rests, by their lengths alone, in streams of about
+``stream`` pieces: the rule needs a long stream to complete windows (of the tokens placed, 35 % stand in completed windows after
+1,250 documents, 87 % after 10,000), and a stream's memory is that of its open windows.  Windows that are still open at a stream's
+end are emptied and their whole pieces, in order of falling size, put into the fullest window that takes them.  Nothing but documents
+longer than a window is ever cut; what a window lacks is padded, unless its length is a power of two.
 
 Null text counts as empty (a document of the end id alone); every document, repeated rows included, is packed as
 a document of its own; a null ``doc_id`` is kept; extra columns are ignored; an empty table gives no rows.
@@ -18,6 +19,7 @@ a document of its own; a null ``doc_id`` is kept; extra columns are ignored; an
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.encode import crc, encoder, slices, vocabulary_path
+from hashloom.scratch import materialize
 
-Piece = tuple  # (item, start, length)
+Piece = tuple  # (item, length)
 
 
 class SumOfSquares:
@@ -54,7 +57,7 @@ class SumOfSquares:
         return int(top - np.argmin(cost[::-1]))
 
     def place(self, piece: Piece) -> list[Piece] | None:
-        size = piece[2]
+        size = piece[1]
         level = self.level_for(size)
         held = self.open[level].pop() if level else []
         if level:
@@ -67,74 +70,106 @@ class SumOfSquares:
         return None
 
     def finish(self) -> Iterator[list[Piece]]:
-        """Close all windows: full ones first, then windows of falling powers of two."""
-        flow = [p for level in range(self.window, 0, -1) for held in self.open[level] for p in held]
+        """Close all windows: their pieces, the longest first, go whole into the fullest window that takes them."""
+        left = sorted((p for held in self.open for window in held for p in window), key=lambda p: -p[1])
         self.__init__(self.window)
-        total = sum(p[2] for p in flow)
-        sizes = [self.window] * (total // self.window)
-        rest = total % self.window
-        sizes += [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
-        yield from fill(flow, sizes)
-
-
-def fill(flow: list[Piece], sizes: list[int]) -> Iterator[list[Piece]]:
-    """Cut ``flow`` into windows of exactly ``sizes`` tokens."""
-    at, taken = 0, 0
-    for size in sizes:
-        held: list[Piece] = []
-        while size:
-            item, start, length = flow[at]
-            use = min(size, length - taken)
-            held.append((item, start + taken, use))
-            size, taken = size - use, taken + use
-            if taken == length:
-                at, taken = at + 1, 0
-        yield held
+        rooms: list[tuple[int, int]] = []  # (room, window) in order
+        windows: list[list[Piece]] = []
+        for p in left:
+            k = bisect.bisect_left(rooms, (p[1], 0))
+            if k == len(rooms):
+                room, at = self.window, len(windows)
+                windows.append([])
+            else:
+                room, at = rooms.pop(k)
+            windows[at].append(p)
+            if room > p[1]:
+                bisect.insort(rooms, (room - p[1], at))
+        yield from windows
+
+
+def padding(size: int, window: int) -> int:
+    """What a sequence of ``size`` tokens is padded by: up to the window, unless its length is a power of two."""
+    return 0 if size & (size - 1) == 0 else window - size
+
+
+CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary"
+OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long, ids binary"
 
 
-OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long, ids binary"
-ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padding")), ("ids", pa.binary())])
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in ddl.split(", ")])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, vocabulary: Callable[[], str] = vocabulary_path, with_ids: bool = False) -> DataFrame:
-    """One row for each piece; ``ids`` holds its token ids (little-endian unsigned 32-bit) if ``with_ids``, else null.
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    ``sequence_id`` is unique over the whole result: the partition's number in the upper bits and a running number below.
-    ``padding`` is what the piece's sequence lacks to ``window`` (always 0: windows are full, or a power of two long).
-    """
+
+def cut(docs: DataFrame, id_col: str, text_col: str, window: int, end_id: int, vocabulary: Callable[[], str], with_ids: bool) -> DataFrame:
+    """A row for each full window and each rest of a document; only full windows have a ``sequence_id`` (an odd one) yet."""
+    schema = _schema(CUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(vocabulary(), end_id).batch, SumOfSquares(window)
-        serial = TaskContext.get().partitionId() << 36
+        encode, serial = encoder(vocabulary(), end_id).batch, TaskContext.get().partitionId() << 36
+        out: list[tuple] = []
+        for b in slices(batches, 1):
+            for doc, data in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                for start in range(0, len(data), window):
+                    part = data[start : start + window]
+                    full = len(part) == window
+                    serial += full
+                    out.append((doc, start, len(part), crc(part), len(data), 2 * serial + 1 if full else None, part.tobytes() if with_ids else None))
+                if len(out) > 5000:
+                    yield _batch(out, schema)
+                    out = []
+        if out:
+            yield _batch(out, schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, CUT)
+
+
+def place(rests: DataFrame, window: int) -> DataFrame:
+    """Rests with the sequence, offset and padding that a packer for each partition gives them; sequence ids are even."""
+    schema = _schema(OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, serial = SumOfSquares(window), TaskContext.get().partitionId() << 36
         out: list[tuple] = []
 
         def emit(held: list[Piece]) -> None:
             nonlocal serial
-            offset = 0
-            for (doc, data, first, total), start, length in held:
-                part = data[start - first : start - first + length]
-                out.append((doc, start, length, crc(part), total, serial, offset, 0, part.tobytes() if with_ids else None))
-                offset += length
+            offset, lacks = 0, padding(sum(size for _, size in held), window)
+            for row, size in held:
+                out.append((*row[:5], 2 * serial, offset, lacks, row[6]))
+                offset += size
             serial += 1
 
-        def batch() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW.types, strict=True)], schema=ARROW)
-            out.clear()
-            return got
-
-        for b in slices(batches, 1):
-            for doc, data in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
-                total = len(data)
-                whole = total - total % window
-                for start in range(0, whole, window):
-                    emit([((doc, data, 0, total), start, window)])
-                if total > whole and (full := packer.place(((doc, data[whole:].copy(), whole, total), whole, total - whole))):
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if full := packer.place((row, row[2])):
                     emit(full)
                 if len(out) > 5000:
-                    yield batch()
+                    yield _batch(out, schema)
+                    out.clear()
         for held in packer.finish():
             emit(held)
         if out:
-            yield batch()
+            yield _batch(out, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, OUT)
+    return rests.mapInArrow(run, OUT)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, vocabulary: Callable[[], str] = vocabulary_path, with_ids: bool = False, stream: int = 1 << 15) -> DataFrame:
+    """One row for each piece; ``ids`` holds its token ids (little-endian unsigned 32-bit) if ``with_ids``, else null.
+
+    ``sequence_id`` is unique over the whole result.  ``padding`` is what the piece's sequence lacks to ``window``
+    (0 for full windows and those a power of two long).
+    """
+    pieces, _ = materialize(cut(docs, id_col, text_col, window, end_id, vocabulary, with_ids), "pieces")
+    full = pieces.filter("sequence_id is not null")
+    rests = pieces.filter("sequence_id is null")
+    # reading the short rows costs little, so the number of tasks follows the streams
+    streams = max(1, round(rests.count() / stream))
+    zero = F.lit(0).cast("long")
+    done = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", zero.alias("offset"), zero.alias("padding"), "ids")
+    return done.unionByName(place(rests.coalesce(streams), window))
