@@ -13,27 +13,39 @@ key with more than ``hot`` fingerprints (many near copies of one text) is not pa
 members are joined to virtual points of the other segment, so that the work grows linearly with
 the group and no reachable document is lost (see ``_hot_edges``).
 
+Dropping near duplicates (``keep_one``) asks for a similarity of word shingles, five words and 0.8 by default, which a distance of three bits
+is far too strict for.  There the same index holds wider fingerprints (192 bits of a text's distinct words, six segments), which
+finds whatever differs in at most eleven bits and most of what differs in a few more; pairs within ``WITHIN`` bits are candidates,
+and the Jaccard similarity of their whole texts' shingles decides.  Crowded keys are worked off in rounds: some members of a key are
+compared with all others of it, what is similar goes, and so on until few enough are left to be paired (see ``similar``).
+
 Inputs are never changed.  Null text counts as empty; a text without words has fingerprint zero
 and is linked like any other; rows repeated in the input are repeated in the output; a null
-``doc_id`` takes part but never names a component; extra columns are ignored.
+``doc_id`` takes part but never names a component; extra columns are ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hashloom.llm._arrow import rows, utf8
 from hashloom.plans.graph import connected_components
+from hashloom.plans.hot import fresh, hinted, join_salted
 from hashloom.scratch import materialize
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SPAN = 1 << 16
+LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd factors that make 64-bit lanes of one hash
+ACROSS = 16  # bits by which a candidate pair may differ in another lane
+WITHIN = 26  # bits by which a candidate pair may differ in all lanes
+LEADERS = 4  # members of a crowded key that a round compares with all others
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -128,24 +140,191 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``root`` is the component's smallest fingerprint, ``component_id`` the smallest reachable ``doc_id`` (null if all are null).
     """
     marked, _ = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
     comps = connected_components(links(distinct.select("fp"), max_bits, hot))
-    inside = distinct.join(comps.withColumnRenamed("node", "fp"), "fp")
+    inside, _ = materialize(distinct.join(comps.withColumnRenamed("node", "fp"), "fp"), "inside")
     lowest = inside.groupBy("component").agg(F.min("rep").alias("low"))
-    grouped = inside.join(lowest, "component").select("fp", "low", "component")
+    grouped = join_salted(inside, lowest, "component", "fp").select("fp", "low", "component")
     named = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "h", "fp", "root", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component with all its columns: that of the smallest id (then text hash); rows without an id come last."""
-    found, _ = materialize(near_duplicates(docs, id_col, text_col, **options), "components")
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_kid"), F.col("k.h").alias("_kh"))
-    rows_of = docs.withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
-    out = rows_of.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kid")) & (F.col("_h") == F.col("_kh")), "left_semi")
-    if not found.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():  # whole rows repeat
-        out = out.dropDuplicates([id_col, "_h"])
-    return out.select(*docs.columns)
+    return join_salted(marked, named, "fp", "doc_id", distinct.select("fp", "n")).select("doc_id", "h", "fp", "root", "component_id")
+
+
+def lanes(words: list[bytes]) -> list[int]:
+    """SimHash of a set of words in 64-bit lanes, as signed numbers."""
+    from xxhash import xxh64_intdigest as h
+
+    if not words:
+        return [0] * len(LANES)
+    x = np.fromiter(map(h, set(words)), np.uint64)
+    total = np.zeros(64 * len(LANES), np.int64)
+    for at in range(0, len(x), SPAN):
+        part = x[at : at + SPAN, None] * np.array(LANES, np.uint64)
+        part[:, 1:] ^= part[:, 1:] >> np.uint64(29)
+        part[:, 1:] *= np.uint64(0x165667B19E3779F9)
+        part[:, 1:] ^= part[:, 1:] >> np.uint64(32)
+        total += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(x), bitorder="little").view(np.int64).tolist()
+
+
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct hashes of all runs of ``size`` words (a shorter text is one run), as signed numbers."""
+    from xxhash import xxh64_intdigest as h
+
+    return np.unique(np.fromiter((h(b" ".join(words[k : k + size])) for k in range(max(1, len(words) - size + 1) if words else 0)), np.uint64)).view(np.int64)
+
+
+def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, h, node, f0, f1, f2)``: the text's hash, that of its words in order, and the lanes."""
+    from xxhash import xxh64_intdigest
+
+    names = ["doc_id", "h", "node", *(f"f{k}" for k in range(len(LANES)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches):
+            words = [utf8(t).translate(LOWER).split() for t in b.column(2).to_pylist()]
+            node = np.fromiter((xxh64_intdigest(b" ".join(w)) for w in words), np.uint64).view(np.int64)
+            f = np.array([lanes(w) for w in words], np.int64).reshape(-1, len(LANES))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in f.T)], names)
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _segments(nodes: DataFrame) -> DataFrame:
+    """``(key, node, other)`` for each 32-bit segment: its number and value as one key, and the next lane."""
+    n = len(LANES)
+    cells = [F.struct(F.shiftleft(F.lit(2 * k + seg).cast("long"), 32).bitwiseOR(_half(F.col(f"f{k}"), seg)).alias("key"), F.col(f"f{(k + 1) % n}").alias("other")) for k in range(n) for seg in (0, 1)]
+    return nodes.select("node", F.explode(F.array(*cells)).alias("s")).select("s.key", "node", "s.other")
+
+
+def _probes(segments: DataFrame) -> DataFrame:
+    """Segments with one clear bit set."""
+    masks = F.explode(F.array(*[F.lit(1 << k).cast("long") for k in range(32)])).alias("mask")
+    return segments.select("key", "node", "other", masks).filter(F.col("key").bitwiseAND(F.col("mask")) == 0).select(F.col("key").bitwiseOR(F.col("mask")).alias("key"), "node", "other")
+
+
+def _met(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
+    """Pairs ``(a, b)`` below one key that are close in another lane; with ``ordered`` each pair from its smaller member."""
+    left = a.select("key", F.col("node").alias("a"), F.col("other").alias("ao"))
+    right = b.select("key", F.col("node").alias("b"), F.col("other").alias("bo"))
+    close = (F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= ACROSS) & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
+    return left.join(right, "key").filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _led(led: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs of the members of crowded keys with their keys' leaders, the members of a key dealt to several tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(64))
+    right = leaders.select("key", F.col("node").alias("b"), F.col("other").alias("bo"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("salt"))
+    met = led.select("key", salt.alias("salt"), F.col("node").alias("a"), F.col("other").alias("ao")).join(right, ["key", "salt"])
+    return met.filter((F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= ACROSS) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs whose lanes are close and whose shingles are similar, as edges ``(src, dst)``."""
+    lanes_of = [f"f{k}" for k in range(len(LANES))]
+    once, _ = materialize(pairs.distinct(), "candidates")
+    a = join_salted(once, nodes.select(F.col("node").alias("a"), *lanes_of), "a", "b").select("a", "b", *[F.col(f).alias(f"a{f}") for f in lanes_of])
+    near = join_salted(materialize(a, "sides")[0], nodes.select(F.col("node").alias("b"), *lanes_of), "b", "a")
+    bits = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"a{f}"))) for f in lanes_of[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("af0"))))
+    close, _ = materialize(near.filter(bits <= WITHIN).select("a", "b"), "close")
+    if close.isEmpty():
+        return close.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    held, _ = materialize(texts(close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()), "shingles")
+    first, _ = materialize(join_salted(close, held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a", "b"), "first")
+    both = join_salted(first, held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b", "a")
+    na, nb = F.size("sa"), F.size("sb")
+    possible = F.least(na, nb) >= similarity * F.greatest(na, nb)
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(possible & ((na + nb == 0) | (common >= similarity * (na + nb - common)))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = 0.8, hot: int = 64) -> DataFrame:
+    """The nodes of ``nodes(node, f0, f1, f2, r)`` that go: those that chains of similar pairs join to one of smaller ``r``.
+
+    ``texts`` gives ``(node, s)``, the shingles of the nodes it is given.  Keys of at most ``hot`` nodes are paired up.  For a crowded key,
+    each round takes ``LEADERS`` of its nodes, compares them with all that meet there, and takes out the leaders and all that
+    proved similar; a key of few enough nodes is paired up then.  So no two nodes that stay are left uncompared below any key.
+    """
+    segments, _ = materialize(_segments(nodes), "segments")
+    crowd = segments.groupBy("key").count().filter(F.col("count") > hot).select("key")
+    crowded, _ = materialize(crowd, "crowded")
+    some = not crowded.isEmpty()
+    keys = hinted(crowded)
+    calm = segments.join(keys, "key", "left_anti") if some else segments
+    edges = _verified(_met(calm, segments, True).unionByName(_met(calm, _probes(segments), False)), nodes, texts, similarity)
+    gone = _dropped(edges, nodes)
+    if not some:
+        return gone
+    gone, _ = materialize(gone, "gone")
+    out = [gone]
+    table, _ = materialize(segments.join(keys, "key", "left_semi").join(gone, "node", "left_anti"), "table")
+    visitors, _ = materialize(_probes(segments).join(keys, "key", "left_semi").join(gone, "node", "left_anti"), "visitors")
+    while not table.isEmpty():
+        crowded, _ = materialize(table.groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
+        keys = hinted(crowded)
+        full, calm = table.join(keys, "key", "left_semi"), table.join(keys, "key", "left_anti")
+        # the smallest node of each share of a key, found without gathering the key
+        leaders, _ = materialize(full.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min(F.struct("node", "other")).alias("l")).select("key", "l.node", "l.other"), "leaders")
+        guests = visitors.join(keys, "key", "left_semi")
+        pairs = _met(calm, calm, True).unionByName(_met(calm, visitors, False)).unionByName(_led(full.select("key", "node", "other").unionByName(guests.select("key", "node", "other")), leaders))
+        gone, _ = materialize(_dropped(_verified(pairs, nodes, texts, similarity), nodes), "gone")
+        out.append(gone)
+        table, _ = materialize(full.join(gone, "node", "left_anti").join(leaders, ["key", "node"], "left_anti"), "table")
+        visitors, _ = materialize(guests.join(gone, "node", "left_anti"), "visitors")
+    every = out[0]
+    for o in out[1:]:
+        every = every.unionByName(o)
+    return every.distinct()
+
+
+def _dropped(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of each component of ``edges`` but that of the smallest ``r``."""
+    named, _ = materialize(connected_components(edges).join(nodes.select("node", "r"), "node"), "named")
+    best = named.groupBy("component").agg(F.min(F.struct("r", "node")).alias("best")).select("component", F.col("best.node").alias("stays"))
+    return join_salted(named.select("node", "component"), best, "component", "node").filter("node <> stays").select("node")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = 64) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns as they are.
+
+    Texts of the same words count as one; the row of its smallest id (then smallest text hash) stands for it, rows without an id last.
+    Of texts whose ``shingle``-word sets have a Jaccard similarity of ``similarity`` or more, in chains, that of the smallest row
+    stays; in a crowd (see ``similar``) a text goes if it is similar to one that was kept.  Of rows that share id and text one stays,
+    the first by the hash of all columns.
+    """
+    marked, _ = materialize(described(docs, id_col, text_col), "described")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    texts_of = marked.groupBy("node", *[f"f{k}" for k in range(len(LANES))]).agg(F.min(rank).alias("r"))
+    nodes, _ = materialize(texts_of, "nodes")
+    text = F.col(text_col).cast("string")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        found = hinted(materialize(nodes.join(wanted, "node").select("node", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h")), "wanted")[0])
+        source = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("t"))
+        met = source.join(found, F.col("i").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))).select("node", "t")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows(batches, 100):
+                s = [shingles(utf8(t).translate(LOWER).split(), shingle) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64()))], ["node", "s"])
+
+        return met.mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))  # rows that repeat
+
+    gone, _ = materialize(similar(nodes, texts, similarity, hot), "gone")
+    kept, _ = materialize(nodes.join(gone, "node", "left_anti").select("r.doc_id", "r.h"), "kept")
+    here = marked.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times"))
+    k = kept.select(F.col("doc_id").alias("kid"), F.col("h").alias("kh"))
+    state, _ = materialize(here.join(k, F.col("doc_id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")), "left").select("doc_id", "h", "times", F.col("kh").isNotNull().alias("stays")), "state")
+    i, h, row = fresh(docs.columns, "row_id", "row_hash", "row_number")
+    same = lambda: F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h))
+    named = lambda df: hinted(df.select(F.col("doc_id").alias(i), F.col("h").alias(h)))
+    out = docs.join(named(state.filter(~F.col("stays"))), same(), "left_anti")
+    again = state.filter(F.col("stays") & (F.col("times") > 1))
+    if again.isEmpty():
+        return out
+    w = Window.partitionBy(F.col(id_col).cast("long"), F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))
+    one = out.join(named(again), same(), "left_semi").withColumn(row, F.row_number().over(w)).filter(F.col(row) == 1).drop(row)
+    return out.join(named(again), same(), "left_anti").unionByName(one)
 
 
 def hex16(fp: Column) -> Column:

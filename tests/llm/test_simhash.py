@@ -83,3 +83,54 @@ def test_keep_one(spark):
     docs = documents(spark, [(10, near), (11, near + " extra"), (12, "another text entirely with its own words")])
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [10, 12]
     assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def edited(rnd, words, share):
+    return [rnd.choice(["zu", "ke", "ola"]) + str(rnd.randrange(99)) if rnd.random() < share else w for w in words]
+
+
+def plain_groups(texts, similarity=0.8):
+    """Kept rows by brute force: all pairs of five-word shingle sets, in chains."""
+    sets = [set(simhash.shingles(t.lower().encode().split(), 5).tolist()) for t in texts]
+    par = list(range(len(texts)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= similarity * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                par[y] = x
+    return par, find
+
+
+@pytest.mark.parametrize("hot", [64, 12])
+def test_near_copies_go(spark, hot):
+    """Copies with a few edited words against brute force; nothing goes that is similar to nothing."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 3)))
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(rnd.randint(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rnd.choice([0, 1, 3]) if k else 25):
+            texts.append(" ".join(edited(rnd, base, rnd.choice([0.005, 0.01, 0.02]))))
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    _, find = plain_groups([texts[k] for k in order])
+    want = {k for k in range(len(order)) if find(k) == k}
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, [(k, texts[o]) for k, o in enumerate(order)]), hot=hot).collect()}
+    assert want <= kept and len(kept - want) <= 0.08 * (len(order) - len(want))
+
+
+def test_other_columns_and_repeated_rows(spark):
+    """Columns named like the operator's own stay as they are; of rows that share id and text one stays."""
+    rows = [(1, "one two three four five six", 5, 6, 7, "x"), (1, "one two three four five six", 4, 6, 7, "y"), (2, "one  two three four five SIX", 1, 1, 1, "z"), (3, "other words", 77, 1, 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, node long, row_id long, `_salt` string")
+    got = simhash.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and all(tuple(r) in rows for r in got)
+    assert {tuple(r) for r in simhash.keep_one(docs.repartition(3)).collect()} == {tuple(r) for r in got}
