@@ -25,8 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hashloom.plans.hot import fresh
 from hashloom.scratch import materialize
 
+SMALL = 1 << 20  # spans that may be broadcast
+
 #: kind: (Java pattern, group whose length must reach the least, least length); in the order of the report.
 KINDS: dict[str, tuple[str, int, int]] = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -100,12 +103,17 @@ def link(spans: DataFrame, scope: int = 300) -> DataFrame:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300) -> DataFrame:
     """``(doc_id, h, times, found)`` for each distinct row: ``found`` holds ``(start, kind, end)`` by start, then kind."""
-    spans, _ = materialize(find_spans(docs, id_col, text_col), "spans")
     cell = F.struct(F.col("start").alias("start"), F.col("kind").alias("kind"), F.col("end").alias("end"))
-    strong = spans.filter(F.col("kind") < len(STRONG)).select("doc_id", "h", "times", F.when(F.col("kind") >= 0, cell).alias("cell"))
-    linked = link(spans, scope).select("doc_id", "h", F.lit(0).cast("long").alias("times"), cell.alias("cell"))
+    every = reported(docs, id_col, text_col, scope).select("doc_id", "h", "times", F.when(F.col("kind") >= 0, cell).alias("cell"))
     # a kind -1 row carries the number of identical rows; strong spans repeat it and linked ones have none
-    return strong.unionByName(linked).groupBy("doc_id", "h").agg(F.max("times").alias("times"), F.array_sort(F.collect_list("cell")).alias("found"))
+    return every.groupBy("doc_id", "h").agg(F.max("times").alias("times"), F.array_sort(F.collect_list("cell")).alias("found"))
+
+
+def reported(docs: DataFrame, id_col: str, text_col: str, scope: int) -> DataFrame:
+    """``(doc_id, h, kind, start, end, times)`` of all spans to report, and a row of kind -1 for each text."""
+    spans, _ = materialize(find_spans(docs, id_col, text_col), "spans")
+    strong = spans.filter(F.col("kind") < len(STRONG))
+    return strong.unionByName(link(spans, scope).withColumn("times", F.lit(0).cast("long")))
 
 
 def _named(cells: Column) -> Column:
@@ -122,20 +130,51 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
     return out.drop("_copy")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every reported span of ``text_col`` replaced by ``mark`` (overlapping spans by one); other columns as they are."""
-    found = find_secrets(docs, id_col, text_col, scope).filter(F.size("found") > 0).select(F.col("doc_id").alias("_sid"), F.col("h").alias("_sh"), F.col("found").alias("_found"))
-    text = F.col(text_col)
-    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_sid")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_sh")), "left")
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("out"))
+def merged(spans: DataFrame) -> DataFrame:
+    """``(doc_id, h, cuts)``: the texts' spans with overlapping ones made one, as ``(start, end)`` in order; texts without spans have no row."""
+    w = Window.partitionBy("doc_id", "h").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    led = spans.filter("kind >= 0").withColumn("first", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    numbered = led.withColumn("number", F.sum("first").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    one = numbered.groupBy("doc_id", "h", "number").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"))
+    return one.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
 
-    def take(acc: Column, c: Column) -> Column:
-        before = F.when(c["start"] > acc["end"], F.substring(text, (acc["end"] + 1).cast("int"), (c["start"] - acc["end"]).cast("int"))).otherwise(F.lit(""))
-        fresh = (c["start"] >= acc["end"]) | (acc["end"] == 0)
-        return F.struct(F.greatest(acc["end"], c["end"]).alias("end"), F.when(fresh, F.concat(acc["out"], F.array(before, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_found", zero, take, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["end"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_found").isNotNull(), done).otherwise(text)).select(*docs.columns)
+def _without(text: Column, cuts: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each of the ``cuts``.
+
+    Taking a part of a text costs its distance from the text's beginning.  So the text is first taken apart into stretches of about
+    the square root of the number of cuts, and each stretch by its own cuts.
+    """
+    n = F.size(cuts)
+    step = F.ceil(F.sqrt(n)).cast("int")
+    part = lambda t, low, high: F.when(high > low, F.substring(t, low + 1, high - low)).otherwise(F.lit(""))
+    end_of = lambda k: F.when(k > 0, F.get(cuts, k - 1)["end"]).otherwise(F.lit(0))
+
+    def stretch(g: Column) -> Column:
+        first, last = g * step, F.least((g + 1) * step, n)
+        own = F.struct(part(text, end_of(first), end_of(last)).alias("t"), end_of(first).alias("at"))
+        # an array of one cell, so that the stretch is taken out of the text once
+        pieces = F.transform(F.array(own), lambda o: F.array_join(F.transform(F.sequence(first, last - 1), lambda k: F.concat(part(o["t"], end_of(k) - o["at"], F.get(cuts, k)["start"] - o["at"]), F.lit(mark))), ""))
+        return F.get(pieces, F.lit(0))
+
+    inner = F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), stretch)
+    return F.concat(F.array_join(inner, ""), part(text, end_of(n), F.length(text)))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every reported span of ``text_col`` replaced by ``mark`` (overlapping spans by one); other columns as they are.
+
+    The texts stay where they are: the spans, few beside the texts, come to them by broadcast while there are ``SMALL`` or fewer, beyond that by a join.
+    """
+    spans, _ = materialize(merged(reported(docs, id_col, text_col, scope)), "cuts")
+    i, h, c = fresh(docs.columns, "span_id", "span_hash", "span_cuts")
+    found = spans.select(F.col("doc_id").alias(i), F.col("h").alias(h), F.col("cuts").alias(c))
+    if (spans.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= SMALL:
+        found = F.broadcast(found)
+    text = F.col(text_col)
+    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col(h)), "left")
+    return joined.withColumn(text_col, F.when(F.col(c).isNotNull(), _without(text.cast("string"), F.col(c), mark)).otherwise(text)).select(*docs.columns)
 
 
 def oracle_sql(scope: int = 300) -> str:

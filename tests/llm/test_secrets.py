@@ -1,3 +1,4 @@
+import time
 import hashlib
 import random
 import re
@@ -71,3 +72,21 @@ def test_redact(spark):
 def test_no_python_in_the_plan(spark):
     plan = secrets.report(awkward(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_redact_many_spans_and_clashing_names(spark):
+    """Fifty thousand spans in one text, cut out in one go; columns named like the operator's own stay."""
+    n = 50_000
+    text = " ".join(f"é{k} {k % 16:x}{'0123456789abcdef' * 2}" for k in range(n))
+    rows = [(1, text, 5, 6, 7), (2, "token = abcdefgh12345 and password=hunter2hunter2", 1, 2, 3), (3, None, 1, 2, 3), (None, "a 0123456789abcdef0123456789abcdef😀", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, span_id int, _found int, Span_Hash int")
+    began = time.perf_counter()
+    out = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert out[1].text == " ".join(f"é{k} [SECRET]" for k in range(n)) and tuple(out[1])[2:] == (5, 6, 7)
+    assert out[2].text == "[SECRET] and [SECRET]" and out[3].text is None and out[None].text == "a [SECRET]😀"
+
+
+def test_overlapping_and_touching_spans(spark):
+    spans = spark.createDataFrame([(1, 9, 0, 5, 10, 1), (1, 9, 2, 8, 20, 1), (1, 9, 1, 20, 30, 1), (1, 9, 2, 6, 7, 1), (1, 9, -1, 0, 0, 1), (2, 9, -1, 0, 0, 1)], "doc_id long, h long, kind int, start long, end long, times long")
+    assert [(r.doc_id, [tuple(c) for c in r.cuts]) for r in secrets.merged(spans).collect()] == [(1, [(5, 20), (20, 30)])]
