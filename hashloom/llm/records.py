@@ -1,8 +1,8 @@
 """Length-delimited binary records with masked checksums and a separate offset index.
 
-Data file::
+Data file: blocks of a few megabytes, one after another::
 
-    b"HLR1" u64 writer u64 tokens of the writer's earlier files
+    b"HLR2" u64 bytes of the block up to its newline | u64 writer | u64 tokens of the writer's earlier records
     record*      u64 length | u32 masked crc32 of the eight length bytes | payload | u32 masked crc32 of payload
     newline
 
@@ -15,12 +15,13 @@ Index file (one for each data file): ``b"HLX1" u64 writer u64 count``, ``count``
 of the entries``, newline.  With it a reader can fetch records in any order by seeking.
 
 Writing is distributed: documents are range-partitioned and sorted by ``doc_id``; each range writes
-files of bounded size through Spark's own writer and commit protocol (so any store that Spark writes
-will do, and a lost executor's half-written files never appear).  Starts are global: a range's start is the sum of the ranges before it, which is one
+files of about ``file_bytes`` through Spark's own writer and commit protocol (so any store that Spark writes
+will do, and a lost executor's half-written files never appear).  The n-th files of all ranges share a folder, so there are as few folders
+as a range has files.  Starts are global: a range's start is the sum of the ranges before it, which is one
 number for each range.
 
-Null text counts as empty (one record of the end id); null ids sort first and are kept; repeated
-rows give a record each; extra columns are ignored; an empty table writes no records.
+Null text counts as empty (one record of the end id); null ids sort first and are kept; rows of one id are ordered by
+the hash of their text, which also lets ranges part them; repeated rows give a record each; extra columns are ignored; an empty table writes no records.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from hashloom.llm.encode import crc, encoder, slices, vocabulary_path
 
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
+HEAD = 28  # bytes before a block's first record
 
 
 def masked(data: bytes) -> int:
@@ -74,36 +76,52 @@ def ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if doc == NULL_ID else doc, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: Callable[[], str] = vocabulary_path, partitions: int | None = None, file_bytes: int = 4 << 20) -> None:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: Callable[[], str] = vocabulary_path, partitions: int | None = None, block_bytes: int = 4 << 20, file_bytes: int = 64 << 20) -> None:
     """Encode ``docs`` and write data and index files below ``path``, ascending by ``doc_id`` over ranges, files and records."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer = encoder(vocabulary(), end_id).batch, TaskContext.get().partitionId()
-        data, entries, before, serial, size = [], [], 0, 0, 20
+        data, entries, before, size = [], [], 0, HEAD
+        first = place = roll = block = 0  # tokens before the block, its place in the file, the numbers of both
+
+        def row(kind: str, value: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([roll], pa.int32()), pa.array([block], pa.int64()), pa.array([value])], ["kind", "roll", "block", "value"])
 
         def close() -> pa.RecordBatch:
-            nonlocal data, entries, serial, size
+            nonlocal data, first, place, block, size
+            got = row("data", b"HLR2" + struct.pack("<QQQ", size, writer, first) + b"".join(data))
+            data, first, place, block, size = [], before, place + size + 1, block + 1, HEAD
+            return got
+
+        def finish() -> pa.RecordBatch:
+            nonlocal entries, place, roll
             body = b"".join(struct.pack("<qQQQ", *x) for x in entries)
-            files = [b"HLR1" + struct.pack("<QQ", writer, entries[0][3]) + b"".join(data), b"HLX1" + struct.pack("<QQ", writer, len(entries)) + body + struct.pack("<I", masked(body))]
-            got = pa.RecordBatch.from_arrays([pa.array(["data", "index"]), pa.array([f"{writer:06d}-{serial:06d}"] * 2), pa.array(files)], ["kind", "part", "value"])
-            data, entries, serial, size = [], [], serial + 1, 20
+            got = row("index", b"HLX1" + struct.pack("<QQ", writer, len(entries)) + body + struct.pack("<I", masked(body)))
+            entries, place, roll = [], 0, roll + 1
             return got
 
         for b in slices(batches, 1):
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 framed = frame(payload_of(doc, ids))
-                entries.append((NULL_ID if doc is None else doc, size, len(ids), before))
+                entries.append((NULL_ID if doc is None else doc, place + size, len(ids), before))
                 data.append(framed)
                 size, before = size + len(framed), before + len(ids)
-                if size >= file_bytes:
+                if size >= block_bytes:
                     yield close()
-        if entries:
+                    if place >= file_bytes:
+                        yield finish()
+        if data:
             yield close()
+        if entries:
+            yield finish()
 
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "kind string, part string, value binary").select("kind", "part", F.col("value").cast("string")).write.partitionBy("kind", "part").text(path)
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    ordered = source.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    files = ordered.mapInArrow(run, "kind string, roll int, block long, value binary").sortWithinPartitions("kind", "roll", "block")
+    files.select("kind", "roll", F.col("value").cast("string")).write.partitionBy("kind", "roll").option("maxRecordsPerFile", 0).text(path)
 
 
 def _files(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -142,16 +160,18 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches, 1):
-            raw = b.column(0)[0].as_py()
-            if raw[:4] != b"HLR1":
-                raise ValueError("data file is damaged")
-            writer, earlier = struct.unpack_from("<QQ", raw, 4)
-            start, at, out = base[writer] + earlier, 20, []
-            while at < len(raw) - 1:
-                payload, at = unframe(raw, at)
-                doc, ids = ids_of(payload)
-                out.append((doc, start, len(ids), crc(ids), ids.tobytes() if with_ids else None))
-                start += len(ids)
+            raw, place, out = b.column(0)[0].as_py(), 0, []
+            while place < len(raw):
+                if raw[place : place + 4] != b"HLR2":
+                    raise ValueError("data file is damaged")
+                size, writer, earlier = struct.unpack_from("<QQQ", raw, place + 4)
+                start, at = base[writer] + earlier, place + HEAD
+                while at < place + size:
+                    payload, at = unframe(raw, at)
+                    doc, ids = ids_of(payload)
+                    out.append((doc, start, len(ids), crc(ids), ids.tobytes() if with_ids else None))
+                    start += len(ids)
+                place += size + 1
             types = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 

@@ -30,7 +30,7 @@ def test_payloads():
             assert got[0] == doc and got[1].tolist() == ids
 
 
-@pytest.mark.parametrize("options", [{}, {"file_bytes": 64, "partitions": 3}])
+@pytest.mark.parametrize("options", [{}, {"file_bytes": 64, "block_bytes": 32, "partitions": 3}, {"block_bytes": 32, "partitions": 1}])
 def test_round_trip(spark, options):
     from tokenizers import Tokenizer
 
@@ -65,12 +65,27 @@ def test_shuffled_reads(spark):
         assert doc == e.doc_id and len(ids) == e.tokens
 
 
+def test_folders_do_not_grow_with_the_files(spark, tmp_path):
+    """Many small blocks share a file; the n-th files of all ranges share a folder; every offset leads to its record."""
+    path = str(tmp_path / "r")
+    docs = spark.createDataFrame([(k % 50, f"text {k} " * 20) for k in range(400)], "doc_id long, text string")
+    records.write(docs, path, partitions=4, block_bytes=500, file_bytes=8000)
+    folders = sorted(x.name for x in (tmp_path / "r" / "kind=data").iterdir() if x.is_dir())
+    files = list((tmp_path / "r").glob("kind=data/*/part-*"))
+    assert 1 < len(folders) < 12 and len(files) >= 4
+    got = [(r.doc_id, r.ids_crc32) for r in records.read(spark, path).orderBy("start").collect()]
+    assert [d for d, _ in got] == sorted(k % 50 for k in range(400))
+    again = str(tmp_path / "again")
+    records.write(docs.repartition(7), again, partitions=4)
+    assert [(r.doc_id, r.ids_crc32) for r in records.read(spark, again).orderBy("start").collect()] == got
+
+
 def test_damage_is_found(spark, tmp_path):
     path = str(tmp_path / "r")
     records.write(awkward(spark), path, partitions=1)
     file = next((tmp_path / "r").glob("kind=data/*/part-*"))
     raw = bytearray(file.read_bytes())
-    raw[60] ^= 1
+    raw[68] ^= 1
     file.write_bytes(bytes(raw))
     for crc in (tmp_path / "r").glob("kind=data/*/.part-*.crc"):
         crc.unlink()
