@@ -7,9 +7,9 @@ triangle inequality gives a lower bound ``max |d(q, p) - d(x, p)|`` over the piv
 the inner product.  Candidates are evaluated exactly, in the order of their bounds, until the next bound
 cannot reach the k-th best score found so far.  Scores are integers and computed exactly.
 
-Rows are packed into blocks without a shuffle.  Query blocks and candidate blocks meet by an equi-join on
-their block numbers: this is the stated query set against all rows, in blocks.  A task keeps its queries' best
-scores from block to block, so later blocks stop earlier, and emits k rows for each query at its end.
+Rows are packed into blocks without a shuffle.  Candidate blocks are dealt to lanes once; a lane, whose size is bounded, stays in its
+task while the query blocks, a copy for each lane, pass through it: this is the stated query set against all rows, in blocks.
+A query block's best scores are kept from block to block of the lane, so later blocks stop earlier, and k rows for each query leave the lane.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def _blocks(vectors: DataFrame, size: int, pivots: int = 0) -> DataFrame:
     return vectors.mapInArrow(run, "block long, dim long, n long, ids binary, data binary, pivots binary, table binary, radius2 double")
 
 
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, pivots: int = 32, block: int = 8192, query_block: int = 1024, lanes: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, pivots: int = 32, block: int = 8192, query_block: int = 1024, lane_blocks: int = 8) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest integer inner products for each query row against every other row.
 
     ``is_query`` is a condition on ``id_col``.  Ties go to the smaller id.  A row is no candidate of queries with its own id.  Vectors that
@@ -143,40 +143,37 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     usable = vectors.select(F.col(id_col).cast("long").alias(id_col), quantized(F.col(vec_col), scale).alias("v")).filter(F.col(id_col).isNotNull() & F.col("v").isNotNull())
     cand, _ = materialize(_blocks(usable, block, pivots), "candidates")
     query, _ = materialize(_blocks(usable.filter(is_query).dropDuplicates([id_col, "v"]).coalesce(max(1, spark.sparkContext.defaultParallelism)), query_block), "queries")
-    lane = lanes or spark.sparkContext.defaultParallelism
-    # a lane is a slice of the candidate blocks; each query block meets each lane in one task
-    cand = cand.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lane).cast("long"))).select("lane", "dim", F.struct("n", "ids", "data", "pivots", "table", "radius2").alias("c"), F.col("block").alias("cb"))
-    spread_q = query.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lane - 1).cast("long"))).alias("lane"), F.col("block").alias("qb"), F.struct("n", "ids", "data").alias("q"))
-    met = spread_q.join(cand, ["dim", "lane"]).repartition(F.col("qb"), F.col("lane")).sortWithinPartitions("qb", "lane", "cb")
+    cores, blocks = spark.sparkContext.defaultParallelism, cand.count()
+    lanes = max(1, min(cores, blocks), -(-blocks // lane_blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane")
+    columns = ["dim", "n", "ids", "data", "pivots", "table", "radius2"]
+    dealt = cand.select(F.pmod(F.xxhash64("block"), F.lit(lanes).cast("long")).alias("lane"), F.lit(0).alias("kind"), "block", *columns)
+    asked = query.select(every, F.lit(1).alias("kind"), "block", *columns)
+    # a task has whole lanes: each lane's candidate blocks come first, then all query blocks
+    met = dealt.unionByName(asked).repartition(lanes, "lane").sortWithinPartitions("lane", "kind", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, qids, qs, best = None, None, None, []
-
-        def emit() -> pa.RecordBatch:
-            flat = [(int(qid), s, -i) for qid, b in zip(qids, best, strict=True) for s, i in b]
-            return pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], pa.int64()) for j in range(3)], ["query_id", "score", "vec_id"])
-
+        lane, held = None, {}
         for b in batches:
             for r in range(b.num_rows):
-                row = {n: b.column(j)[r] for j, n in enumerate(b.schema.names)}
-                at = (row["qb"].as_py(), row["lane"].as_py())
-                dim = row["dim"].as_py()
-                if at != key:
-                    if key is not None:
-                        yield emit()
-                    q = row["q"].as_py()
-                    key, qids = at, np.frombuffer(q["ids"], "<i8")
-                    qs = np.frombuffer(q["data"], "<f8").reshape(q["n"], dim)
-                    best = [[] for _ in qids]
-                c = row["c"].as_py()
-                marks = np.frombuffer(c["pivots"], "<f8").reshape(-1, dim + 1)
-                held = Block(np.frombuffer(c["ids"], "<i8"), np.frombuffer(c["data"], "<f8").reshape(c["n"], dim), marks, np.frombuffer(c["table"], "<f8").reshape(c["n"], len(marks), order="F"), c["radius2"])
-                to_pivots = distances(np.concatenate([qs, np.zeros((len(qs), 1))], axis=1), held.pivots)
-                best = [search_block(held, int(i), qs[j], to_pivots[j], best[j], k) for j, i in enumerate(qids)]
-        if key is not None:
-            yield emit()
-
-    found = met.select("qb", "lane", "dim", "q", "c").mapInArrow(run, "query_id long, score long, vec_id long")
+                row = {n: b.column(j)[r].as_py() for j, n in enumerate(b.schema.names)}
+                if row["lane"] != lane:
+                    lane, held = row["lane"], {}
+                dim, ids = row["dim"], np.frombuffer(row["ids"], "<i8")
+                data = np.frombuffer(row["data"], "<f8").reshape(row["n"], dim)
+                if not row["kind"]:
+                    marks = np.frombuffer(row["pivots"], "<f8").reshape(-1, dim + 1)
+                    held.setdefault(dim, []).append(Block(ids, data, marks, np.frombuffer(row["table"], "<f8").reshape(row["n"], len(marks), order="F"), row["radius2"]))
+                    continue
+                best: list[list[tuple[int, int]]] = [[] for _ in ids]
+                longer = np.concatenate([data, np.zeros((len(data), 1))], axis=1)
+                for c in held.get(dim, []):
+                    to_pivots = distances(longer, c.pivots)
+                    best = [search_block(c, int(i), data[j], to_pivots[j], best[j], k) for j, i in enumerate(ids)]
+                flat = [(int(i), s, -v) for i, found in zip(ids, best, strict=True) for s, v in found]
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], pa.int64()) for j in range(3)], ["query_id", "score", "vec_id"])
+
+    found = met.select("lane", "kind", *columns).mapInArrow(run, "query_id long, score long, vec_id long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -32,7 +32,7 @@ def vectors(seed, n, dim, spread=1.0):
     return [(k, [f32(rnd.gauss(0, spread)) for _ in range(dim)]) for k in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 16, "query_block": 4, "pivots": 3, "lanes": 2}, {"pivots": 0}, {"block": 7, "pivots": 50}])
+@pytest.mark.parametrize("options", [{}, {"block": 16, "query_block": 4, "pivots": 3, "lane_blocks": 1}, {"pivots": 0}, {"block": 7, "pivots": 50}])
 def test_against_brute_force(spark, options):
     rows = vectors(1, 150, 12)
     assert search(spark, rows, **options) == brute(rows)
