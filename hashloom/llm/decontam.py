@@ -14,8 +14,11 @@
    ``least_lcs`` of the passage, or ``paraphrase_lcs`` of it and the answer check holds: most of the answer's words (the passage's
    rarest ones, or the words of ``answer_col``) stand there too.
 
-A benchmark of any size is worked on in parts of at most ``part_words`` words, so that what is broadcast is bounded.
-Words are lower-cased and free of ASCII and typographic punctuation, so added marks and case changes do not hide a leak.
+Vocabulary, frequencies and latent space are those of the whole benchmark, whatever its size; only the search goes through it in parts of
+about ``part_words`` words, so that what is broadcast is bounded.  A vocabulary of more than ``most_words`` words is not broadcast: words
+are numbered by a hash then, and two of them may share a number, by which no leak is lost.
+Words are lower-cased and free of ASCII and typographic punctuation, so added marks and case changes do not hide a leak; in
+scripts without spaces each character is a word.
 
 Null texts count as empty; passages under ``least_words`` words are not looked for; repeated document rows give repeated
 results; null ids are kept; extra columns are ignored; an empty benchmark or table gives no rows.
@@ -24,6 +27,7 @@ results; null ids are kept; extra columns are ignored; an empty benchmark or tab
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm._arrow import rows
-from hashloom.llm._text import plain_words
-from hashloom.scratch import materialize, remove
+from hashloom.llm._text import spaced_words
+from hashloom.scratch import materialize
 
 BLOCK = 32
 FEATURES = 1 << 14
@@ -50,7 +54,7 @@ def split_passages(words: list, longest: int) -> list[list]:
 def passages(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, longest: int, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            out = [(i, k, p, plain_words(a)) for i, t, a in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, p in enumerate(split_passages(plain_words(t), longest)) if len(p) >= least_words]
+            out = [(i, k, p, spaced_words(a)) for i, t, a in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, p in enumerate(split_passages(spaced_words(t), longest)) if len(p) >= least_words]
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["item_id", "part", "words", "answer"])
@@ -59,15 +63,29 @@ def passages(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str |
     return benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), answer.cast("string").alias("_answer")).mapInArrow(run, "item_id long, part long, words array<binary>, answer array<binary>")
 
 
-def numbered(docs: DataFrame, vocab: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
+class Numbers:
+    """Numbers of words, 0 for those outside the vocabulary; with a hash to ``size`` numbers when there is no vocabulary."""
+
+    def __init__(self, words: list[bytes] | None, size: int):
+        self.size = size if words is None else len(words)
+        self.known = None if words is None else {w: k for k, w in enumerate(sorted(words), 1)}
+        self.kind = "<u2" if self.size < 65535 else "<u4"
+
+    def of(self, words: list[bytes]) -> list[int]:
+        if self.known is not None:
+            get = self.known.get
+            return [get(w, 0) for w in words]
+        return [1 + zlib.crc32(w) % self.size for w in words]
+
+
+def numbered(docs: DataFrame, numbers: Numbers, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, ids)``: the number of every word of each document, little-endian, two bytes wide if the vocabulary allows."""
-    held = docs.sparkSession.sparkContext.broadcast(vocab)
-    kind = "<u2" if len(vocab) < 65535 else "<u4"
+    held = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
         for b in rows(batches):
-            ids = [np.array([v.get(w, 0) for w in plain_words(t)], kind).tobytes() for t in b.column(1).to_pylist()]
+            ids = [np.array(v.of(spaced_words(t)), v.kind).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")
@@ -321,32 +339,37 @@ def _search(tokens: DataFrame, index: Index, kind: str, least_cosine: float, lea
 SCHEMA = "doc_id long, item_id long, part long, cosine double, lcs double, answer boolean, word long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, longest: int = 64, least_words: int = 5, rank: int = 128, least_cosine: float = 0.5, least_lcs: float = 0.8, paraphrase_lcs: float = 0.6, part_words: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, longest: int = 64, least_words: int = 5, rank: int = 128, least_cosine: float = 0.5, least_lcs: float = 0.8, paraphrase_lcs: float = 0.6, part_words: int = 1_000_000, most_words: int = 1 << 21) -> DataFrame:
     """``(doc_id, item_id, part, cosine, lcs, answer, word)``: a row for each document row and benchmark passage that leaked into it.
 
     ``word`` is the number of the document's word at which the window begins.
     """
     spark = docs.sparkSession
-    table, _ = materialize(passages(benchmark, item_col, item_text_col, answer_col, longest, least_words), "passages")
-    total = table.agg(F.sum(F.size("words") + F.size("answer"))).first()[0]
+    table, _ = materialize(passages(benchmark, item_col, item_text_col, answer_col, longest, least_words).withColumn("key", F.xxhash64("item_id", "part")), "passages")
+    n, total = table.agg(F.count(F.lit(1)), F.sum(F.size("words") + F.size("answer"))).first()
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
+    vocabulary, _ = materialize(table.select(F.explode(F.concat("words", "answer")).alias("word")).distinct(), "vocabulary")
+    few = vocabulary.count() <= most_words
+    numbers = Numbers([bytes(r["word"]) for r in vocabulary.collect()] if few else None, most_words)
+    tokens, _ = materialize(numbered(docs, numbers, id_col, text_col), "numbered")
+    idf = idf_weights(tokens, numbers.size + 1, numbers.kind)
+    held = spark.sparkContext.broadcast(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches):
+            ids, answers = ([held.value.of(x) for x in b.column(k).to_pylist()] for k in (3, 4))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(x, pa.list_(pa.int64())) for x in (ids, answers))], ["key", "item_id", "part", "ids", "answer"])
+
+    coded, _ = materialize(table.select("key", "item_id", "part", "words", "answer").mapInArrow(run, "key long, item_id long, part long, ids array<long>, answer array<long>"), "coded")
+    basis = latent_basis(coded.repartition(max(1, min(n // 64, spark.sparkContext.defaultParallelism))), idf, min(rank, FEATURES, n))
     out = spark.createDataFrame([], SCHEMA)
-    parts = -(-int(total or 0) // part_words)
+    parts = -(-int(total) // part_words)
     for k in range(parts):
-        held = table.withColumn("key", F.xxhash64("item_id", "part")).filter(F.pmod("key", F.lit(parts)) == k)
-        got = held.orderBy("item_id", "part").collect()  # about ``part_words`` words
-        vocab = {w: n for n, w in enumerate(sorted({bytes(w) for r in got for w in [*r["words"], *r["answer"]]}), 1)}
-        kind = "<u2" if len(vocab) < 65535 else "<u4"
-        tokens, path = materialize(numbered(docs, vocab, id_col, text_col), "numbered")
-        idf = idf_weights(tokens, len(vocab) + 1, kind)
         items = []
-        for r in got:
-            ids = [vocab[bytes(w)] for w in r["words"]]
-            rare = sorted(set(ids), key=lambda t: (-idf[t], t))
-            items.append((r["item_id"], r["part"], ids, [vocab[bytes(w)] for w in r["answer"]] or rare[: max(3, len(rare) // 4)]))
-        numbers = spark.createDataFrame([(r["key"], x[2]) for r, x in zip(got, items, strict=True)], "key long, ids array<long>") if got else None
-        if numbers is None:
-            remove(spark, path)
-            continue
-        basis = latent_basis(numbers.repartition(max(1, min(len(items) // 64, spark.sparkContext.defaultParallelism))), idf, min(rank, FEATURES, max(1, len(items))))
-        out = out.unionByName(_search(tokens, Index(items, idf, basis), kind, least_cosine, least_lcs, paraphrase_lcs))
+        for r in coded.filter(F.pmod("key", F.lit(parts)) == k).orderBy("item_id", "part").collect():  # about ``part_words`` words
+            rare = sorted(set(r["ids"]), key=lambda t: (-idf[t], t))
+            items.append((r["item_id"], r["part"], r["ids"], r["answer"] or rare[: max(3, len(rare) // 4)]))
+        if items:
+            out = out.unionByName(_search(tokens, Index(items, idf, basis), numbers.kind, least_cosine, least_lcs, paraphrase_lcs))
     return out

@@ -109,3 +109,48 @@ def test_short_passages_of_a_large_benchmark(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(df, bench).collect() if r.lcs >= 0.8}
     assert want <= got and all(plain_lcs(items[i], docs[d]) >= 0.8 * len(items[i]) for d, i in got)
+
+
+def test_parts_and_hashed_numbers_do_not_change_results(spark):
+    """Cosines are those of the whole benchmark however it is searched; words numbered by a hash lose nothing."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 3)))
+    items = [[word() for _ in range(rnd.randint(8, 60))] for _ in range(30)]
+    docs = [" ".join([word() for _ in range(40)] + (items[k % 30] if k % 2 else []) + [word() for _ in range(40)]) for k in range(80)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    key = lambda r: (r.doc_id, r.item_id, r.part)
+    whole = {key(r): (round(r.cosine, 4), r.lcs) for r in D.find_leaks(df, bench).collect()}
+    parts = {key(r): (round(r.cosine, 4), r.lcs) for r in D.find_leaks(df, bench, part_words=150).collect()}
+    hashed = {key(r) for r in D.find_leaks(df, bench, most_words=600).collect()}
+    assert whole == parts and {k[:2] for k in whole} >= {(k, k % 30) for k in range(80) if k % 2} and set(whole) <= hashed
+
+
+def test_scripts_without_spaces(spark):
+    """A Chinese and a Thai passage without a space are found inside other text."""
+    bench = spark.createDataFrame([(1, "春眠不觉晓处处闻啼鸟夜来风雨声"), (2, "กขคงจฉชซฌญฎฏฐ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "前言在此" * 9 + "春眠不觉晓,处处闻啼鸟。夜来风雨声" + "后记" * 20), (2, "abc กขคงจฉชซฌญฎฏฐ def"), (3, "前言在此后记" * 9)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench).collect()} == {(1, 1), (2, 2)}
+
+
+def test_leaks_against_brute_force(spark):
+    """Documents and benchmark of edited and unchanged passages: what is found is what a plain common subsequence finds in any stretch."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(2))
+    items = [[word() for _ in range(rnd.randint(10, 40))] for _ in range(12)]
+    docs = []
+    for k in range(60):
+        inside = [w if rnd.random() > rnd.choice([0, 0.1, 0.5]) else word() for w in items[k % 12]] if k % 3 else []
+        docs.append([word() for _ in range(50)] + inside + [word() for _ in range(50)])
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(df, bench, paraphrase_lcs=0.8).collect()}
+    sure, possible = set(), set()
+    for d, x in enumerate(docs):
+        for i, item in enumerate(items):
+            n = len(item)
+            if any(plain_lcs(item, x[at : at + n]) >= 0.8 * n for at in range(0, len(x) - n + 1)):
+                sure.add((d, i))
+            if plain_lcs(item, x) >= 0.8 * n:
+                possible.add((d, i))
+    assert sure and sure <= got <= possible
