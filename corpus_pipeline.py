@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.llm import decontam, packing, secrets, simhash, toxicity
+from hashloom.plans.hot import fresh, hinted
 from hashloom.scratch import materialize
 
 
@@ -22,16 +23,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of near duplicates the document of the smallest id stays."""
+    """Operator 1: of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays."""
     return simhash.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents with a benchmark passage go."""
     key = F.xxhash64("doc_id", "text")
-    leaks = decontam.find_leaks(docs.withColumn("_key", key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    found = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, key == F.col("_leak"), "left_anti")
+    leaks = decontam.find_leaks(docs.select(key.alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    (leak,) = fresh(docs.columns, "leak")
+    found, _ = materialize(leaks.select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.join(hinted(found), key == F.col(leak), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
