@@ -46,6 +46,8 @@ ADDRESS = frozenset("you your you're youre u tu toi vous du dich dein ihr tú us
 STEMS = (3, 4, 5, 6, 7)
 CHUNK = 1 << 20
 FEATURES = 7
+STATES = 50_000  # states of the automaton that are kept
+MEMO = 200_000  # words whose matches are kept
 LONGEST = 64  # bytes of a word that the lexicon may learn
 
 
@@ -113,9 +115,28 @@ class Lexicon:
                             self.pieces.add((entry[0], size, at, entry[a:b]))
                             layout.setdefault((entry[0], size), set()).add((at, at + b - a))
         self.layout = {k: sorted(v) for k, v in layout.items()}
-        self.start = frozenset({(0, 0)})
-        self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.memo: dict[bytes, tuple[str, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drop all states; state 0 is dead, state 1 the start."""
+        self.states: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.moves: list[dict[str, int]] = []
+        self.begun: list[tuple[int, str] | None] = []  # the best stem that a state completes
+        self.ended: list[tuple[int, str] | None] = []  # the best word that ends in a state
+        for state in (frozenset(), frozenset({(0, 0)})):
+            self._number(state)
+
+    def _number(self, state: frozenset) -> int:
+        k = self.number.get(state)
+        if k is None:
+            k = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            self.begun.append(min(((0, self.stem[node]) for node, spent in state if not spent and self.stem[node]), default=None))
+            self.ended.append(min(((spent, self.word[node]) for node, spent in state if self.word[node] and spent <= self.edits(self.word[node])), default=None))
+        return k
 
     def _step(self, state: frozenset, c: str) -> frozenset:
         """States after one letter: match, substitution and insertion, then any deletions."""
@@ -139,24 +160,22 @@ class Lexicon:
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The matching entry of the fewest edits (ties: first by name) and the edits, or None."""
-        state = self.start
+        if len(self.states) > STATES:
+            self._forget()
+        moves, begun = self.moves, self.begun
+        at = 1
         best: tuple[int, str] | None = None
         for c in word:
-            key = (state, c)
-            state = self.moves.get(key)
-            if state is None:
-                if len(self.moves) > 500_000:
-                    self.moves.clear()
-                state = self.moves[key] = self._step(*key)
-            if not state:
+            to = moves[at].get(c)
+            if to is None:
+                to = moves[at][c] = self._number(self._step(self.states[at], c))
+            at = to
+            if not at:
                 break
-            for node, spent in state:
-                if not spent and self.stem[node] and (best is None or (0, self.stem[node]) < best):
-                    best = (0, self.stem[node])
-        for node, spent in state:
-            entry = self.word[node]
-            if entry and spent <= self.edits(entry) and (best is None or (spent, entry) < best):
-                best = (spent, entry)
+            if begun[at] and (best is None or begun[at] < best):
+                best = begun[at]
+        if self.ended[at] and (best is None or self.ended[at] < best):
+            best = self.ended[at]
         return (best[1], best[0]) if best else None
 
     def possible(self, w: bytes) -> bool:
@@ -176,7 +195,7 @@ class Lexicon:
     def lookup(self, words: Iterable[bytes]) -> dict[str, tuple[str, int]]:
         """The words that match an entry, with what they match."""
         memo, found = self.memo, {}
-        if len(memo) > 400_000:
+        if len(memo) > MEMO:
             memo.clear()
         for w in words:
             try:
