@@ -26,7 +26,7 @@ PROBES = ("A don't  B\tcé\n ''s x1 23!? \x0b\x0c z, (ok)$$$ It's.", "The THE, t
 TAILED = r"^(?P<base>.*[a-z])(?P<tail>[.,;:!?$%&*#]+)$"
 MARK = "\x01"
 JOINED = 256  # chunks to one call of the library
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 GATHER = 500  # texts whose ids are gathered at once
 
 
