@@ -147,10 +147,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     lanes = max(1, min(cores, blocks), -(-blocks // lane_blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane")
     columns = ["dim", "n", "ids", "data", "pivots", "table", "radius2"]
-    dealt = cand.select(F.pmod(F.xxhash64("block"), F.lit(lanes).cast("long")).alias("lane"), F.lit(0).alias("kind"), "block", *columns)
+    # lanes of even size: the blocks, one row for many vectors each, are numbered in order
+    numbers = cand.select("block", (F.row_number().over(Window.orderBy("block")) % lanes).cast("long").alias("lane"))
+    dealt = cand.join(numbers, "block").select("lane", F.lit(0).alias("kind"), "block", *columns)
     asked = query.select(every, F.lit(1).alias("kind"), "block", *columns)
     # a task has whole lanes: each lane's candidate blocks come first, then all query blocks
-    met = dealt.unionByName(asked).repartition(lanes, "lane").sortWithinPartitions("lane", "kind", "block")
+    met = dealt.unionByName(asked).repartition(4 * lanes, "lane").sortWithinPartitions("lane", "kind", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane, held = None, {}
