@@ -21,17 +21,20 @@ def common_scaled(scaled: int | None, *collections: Sketches) -> int:
     return scaled or collections[0].max_scaled() or 1
 
 
-def overlaps(q: DataFrame, a: DataFrame, condition: Column | None = None, stats: bool = False) -> DataFrame:
+def overlaps(q: DataFrame, a: DataFrame, condition: Column | None = None, stats: bool = False, weights: DataFrame | None = None) -> DataFrame:
     """``(query_id, match_id, ov, dot)`` of postings that share hashes; with ``stats`` also the match's abundance statistics.
 
-    ``condition`` restricts the pairs and may use ``query_id`` and ``match_id``.
+    ``condition`` restricts the pairs and may use ``query_id`` and ``match_id``.  ``weights(hash, chance, idf)`` adds the sums ``chance``
+    and ``terms`` (of the query's abundances times ``idf``) over the shared hashes.
     """
     left = q.select("hash", F.col("sketch_id").alias("query_id"), F.col("abund").alias("qa"))
+    left = left if weights is None else left.join(weights, "hash")
     right = a.select("hash", F.col("sketch_id").alias("match_id"), F.col("abund").alias("ma"))
     met = left.join(right, "hash")
     if condition is not None:
         met = met.filter(condition)
     extra = [F.sum("ma").alias("found"), F.avg("ma").alias("average"), F.median("ma").alias("median"), F.stddev_pop("ma").alias("std")] if stats else []
+    extra += [] if weights is None else [F.sum("chance").alias("chance"), F.sum(F.col("qa") * F.col("idf")).alias("terms")]
     return met.groupBy("query_id", "match_id").agg(F.count(F.lit(1)).alias("ov"), F.sum(F.col("qa") * F.col("ma")).alias("dot"), *extra)
 
 
@@ -86,20 +89,20 @@ def multisearch(queries: Sketches, against: Sketches, threshold: float = 0.01, s
     """
     s = common_scaled(scaled, queries)
     q, a = queries.select(scaled=s), against.select(scaled=s)
-    rows = _pairs(overlaps(q.postings, a.postings), _side(q, "query", "q"), _side(a, "match", "m"), output_all)
+    rows = _pairs(overlaps(q.postings, a.postings, weights=significance.weights(q, a) if prob else None), _side(q, "query", "q"), _side(a, "match", "m"), output_all)
     columns = _measures(ani, abund)
     if not output_all:
         rows = rows.filter(columns["containment"] > threshold)
     if prob:
-        rows = rows.join(significance.pair_scores(q, a, columns=("prob_overlap", "tf_idf_score")), ["query_id", "match_id"], "left").na.fill(0.0, ["prob_overlap", "tf_idf_score"])
+        rows = rows.na.fill(0.0, ["chance", "terms"])
         n = significance.comparisons(q, a)
-        adjusted = F.col("prob_overlap") * F.lit(n)
+        adjusted = F.col("chance") * F.lit(n)
         columns |= {
-            "prob_overlap": F.col("prob_overlap"),
+            "prob_overlap": F.col("chance"),
             "prob_overlap_adjusted": adjusted,
             "containment_adjusted": ratio(columns["containment"], adjusted),
             "containment_adjusted_log10": F.log10(F.nullif(ratio(columns["containment"], adjusted), F.lit(0.0))),
-            "tf_idf_score": F.col("tf_idf_score"),
+            "tf_idf_score": F.coalesce(ratio(F.col("terms"), F.col("q_square")), F.lit(0.0)),
         }
     ids = ["query_id", "match_id"] if keep_ids else []
     return rows.select(*ids, *IDENTITY, *[c.alias(name) for name, c in columns.items()])

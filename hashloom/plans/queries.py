@@ -20,6 +20,7 @@ from hashloom.operators.sketch import sketch
 from hashloom.plans import views as V
 from hashloom.scratch import new_path
 from hashloom.session import spread
+from hashloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,11 +279,11 @@ def manysearch_indexed(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(
     "pretty_manysearch",
-    _search_sql([BENCH, DOCS], "bench", "docs", f"printf('%-17s %6.1f%% %7d     %s', substr(o.qid::varchar, 1, 17), {_CQ} * 100, o.ov, o.mid::varchar) line", f"{_CQ} > 0.01"),
+    _search_sql([BENCH, DOCS], "bench", "docs", f"printf('%-17s %6s%%  %6s     %6s     %s', substr(o.qid::varchar, 1, 17), printf('%.1f', {_CQ} * 100), 'N/A', 'N/A', o.mid::varchar) line", f"{_CQ} > 0.01"),
 )
 def pretty_manysearch(spark: SparkSession, sf: str) -> DataFrame:
     got = J.manysearch(V.shingles(spark, sf, "benchmark"), V.shingles(spark, sf, "documents"), ignore_abundance=True)
-    return got.select(F.format_string("%-17s %6.1f%% %7d     %s", F.substring("query_name", 1, 17), F.col("containment") * 100, "intersect_hashes", "match_name").alias("line"))
+    return sinks.pretty(got).select("line")
 
 
 # -- gather -------------------------------------------------------------------------------------------------------

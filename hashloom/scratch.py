@@ -31,8 +31,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []  # working tables of this process, in order
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/hashloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/hashloom/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, schema=None) -> tuple[DataFrame, str]:
@@ -49,3 +54,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark() -> int:
+    """A point in time for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, *keep: str) -> None:
+    """Delete the working tables that this process made after ``since``, all but ``keep``; for when results that read them are written."""
+    old = [p for p in _made[since:] if p not in keep]
+    _made[since:] = [p for p in _made[since:] if p in keep]
+    remove(spark, *old)

@@ -130,6 +130,7 @@ def write_clusters(clusters: DataFrame, path: str, sizes_path: str | None = None
 def pretty(results: DataFrame) -> DataFrame:
     """Manysearch results as aligned text lines, by query name."""
     name, percent = F.substring("query_name", 1, 17), F.format_string("%.1f", F.col("containment") * 100)
-    weighted = F.coalesce(F.format_string("%.1f", F.col("average_abund")), F.lit("N/A"))
-    share = F.coalesce(F.concat(F.format_string("%.1f", F.col("f_weighted_target_in_query") * 100), F.lit("%")), F.lit("N/A"))
+    # a null has a text of its own when it is formatted
+    weighted = F.when(F.col("average_abund").isNull(), "N/A").otherwise(F.format_string("%.1f", "average_abund"))
+    share = F.when(F.col("f_weighted_target_in_query").isNull(), "N/A").otherwise(F.format_string("%.1f%%", F.col("f_weighted_target_in_query") * 100))
     return results.orderBy("query_name", "match_name").select(F.format_string("%-17s %6s%%  %6s     %6s     %s", name, percent, weighted, share, F.col("match_name")).alias("line"))
