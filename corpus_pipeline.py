@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hashloom.llm import decontam, packing, secrets, simhash, toxicity
 from hashloom.plans.hot import fresh, hinted
-from hashloom.scratch import materialize
+from hashloom.scratch import mark, materialize, sweep
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to shared storage and read again."""
+    """All stages over ``documents``; each stage's result is written to shared storage and read again, its working tables and its input go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, since, path)
     return STAGES[-1][1](spark, docs, sf_dir)
