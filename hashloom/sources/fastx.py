@@ -1,6 +1,6 @@
 """FASTA and FASTQ sources.
 
-Files are read whole by Spark (plain or gzip, from any store it reads) and parsed on the executors; a file is one task's work,
+Files are read whole by Spark (plain, gzip, bzip2, xz or zstd, from any store it reads) and parsed on the executors; a file is one task's work,
 so very large inputs should come as several files.  Records keep their whole header line as id.
 """
 
@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
+import lzma
 import sys
 from collections.abc import Iterator
 
@@ -24,10 +26,18 @@ class FormatError(ValueError):
 
 
 def plain(data: bytes) -> bytes:
-    """The bytes, unpacked if they are gzip or bzip2."""
+    """The bytes, unpacked if their first ones are those of gzip, bzip2, xz or zstd."""
     if data[:2] == b"\x1f\x8b":
         return gzip.decompress(data)
-    return bz2.decompress(data) if data[:3] == b"BZh" else data
+    if data[:3] == b"BZh":
+        return bz2.decompress(data)
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.decompress(data)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
+    return data
 
 
 def records(data: bytes) -> Iterator[tuple[str, bytes]]:

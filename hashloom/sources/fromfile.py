@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import glob
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,13 @@ def duplicates(paths: DataFrame) -> DataFrame:
     return paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def matching(spark: SparkSession, prefix: str) -> set[str]:
+    """Files whose path starts with ``prefix``, a glob, on any store that Spark reads; local paths come without their scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{prefix}*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return {re.sub("^file:/+", "/", s.getPath().toString()) for s in found if s.isFile()}
+
+
 def read_fromfile(spark: SparkSession, path: str, force: bool = False) -> DataFrame:
     """``(name, input_moltype, paths)`` for each sample; whole repeated rows count once.
 
@@ -39,7 +46,7 @@ def read_fromfile(spark: SparkSession, path: str, force: bool = False) -> DataFr
     for r in rows.collect():  # a list of globs is a driver-side table
         if (r["input_moltype"] or "").lower() not in ("dna", "protein"):
             raise ValueError(f"Invalid 'input_moltype' field value: {r['input_moltype']}")
-        found = set(glob.glob(f"{r['prefix']}*")) - (set(glob.glob(f"{r['exclude']}*")) if r["exclude"] else set())
+        found = matching(spark, r["prefix"]) - (matching(spark, r["exclude"]) if r["exclude"] else set())
         if found:
             out.append((r["name"], r["input_moltype"].lower(), sorted(found)))
     samples = spark.createDataFrame(out, "name string, input_moltype string, paths array<string>")

@@ -1,5 +1,7 @@
+import bz2
 import gzip
 import json
+import lzma
 import subprocess
 import sys
 
@@ -11,7 +13,7 @@ from hashloom.functions.kmers import hashes
 from hashloom.model import from_rows
 from hashloom.operators.sketch import digests, sketch
 from hashloom.sources import fastx, sinks
-from hashloom.sources.fromfile import read_fromfile
+from hashloom.sources.fromfile import matching, read_fromfile
 from hashloom.sources.loader import LoadError, load
 from hashloom.sources.signatures import read_manifest
 from hashloom.sources.similarity import read_similarities
@@ -40,6 +42,22 @@ def test_fastx(spark, files):
         fastx.read_fastx(spark, str(files / "bad.txt")).count()
 
 
+def test_packed_fastx():
+    zstandard = pytest.importorskip("zstandard")
+    data = FASTA.encode()
+    frames = [zstandard.ZstdCompressor().compress(part) for part in (data[:20], data[20:])]
+    for packed in (data, gzip.compress(data), bz2.compress(data), lzma.compress(data), b"".join(frames)):
+        assert fastx.plain(packed) == data
+
+
+def test_prefixes_are_globs_of_files(spark, files):
+    (files / "a.fa.d").mkdir()
+    (files / "a.fa.d" / "x.fa").write_text(FASTA)
+    want = {str(files / n) for n in ("a.fa", "p.fa")}
+    assert matching(spark, f"{files}/[ap].fa") == want == matching(spark, f"file://{files}/[ap].fa")
+    assert matching(spark, f"{files}/none") == set() == matching(spark, f"{files}/no/such/")
+
+
 def test_sketch_round_trips(spark, files, tmp_path):
     sk = cli.singlesketch(spark, [str(files / "a.fa")], ["k=5,scaled=1,abund_k=7,scaled=2"], name="sample")
     assert {(r.ksize, r.scaled, r.with_abundance, r.name) for r in sk.manifest.collect()} == {(5, 1, True, "sample"), (7, 2, False, "sample")}
@@ -147,6 +165,9 @@ def test_commands(spark, files, tmp_path, capsys):
     assert cli.main(["manysearch", z, ix, "-k", "5", "-o", str(tmp_path / "o1")]) == 0
     assert cli.main(["fastmultigather", z, ix, "-k", "5", "-t", "0", "-o", str(tmp_path / "o2")]) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "o1")).first().containment == "1.0"
+    pre = str(tmp_path / "pre")
+    assert cli.main(["fastmultigather", z, z, "-k", "5", "-t", "0", "-o", str(tmp_path / "o3"), "--output-prefetch", pre]) == 0
+    assert [r["query"] for r in spark.read.option("header", True).csv(pre).collect()] == ["s"]
     assert cli.main(["multisearch", "/no/such", z]) == 1
     (files / "l.csv").write_text(f"name,genome_filename,protein_filename\nx,{a},\ny,{files / 'c.fa.gz'},\n")
     many = str(tmp_path / "m.zip")
