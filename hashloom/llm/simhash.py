@@ -45,7 +45,8 @@ SPAN = 1 << 16
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd factors that make 64-bit lanes of one hash
 ACROSS = 16  # bits by which a candidate pair may differ in another lane
 WITHIN = 26  # bits by which a candidate pair may differ in all lanes
-LEADERS = 4  # members of a crowded key that a round compares with all others
+POPULAR = 8  # nodes of a key from which on those one bit away are compared with its head first
+LEADERS = 16  # members of a crowded key that the first round compares with all others; each round takes four times as many
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -194,23 +195,32 @@ def _segments(nodes: DataFrame) -> DataFrame:
     """``(key, node, other)`` for each 32-bit segment: its number and value as one key, and the next lane."""
     n = len(LANES)
     cells = [F.struct(F.shiftleft(F.lit(2 * k + seg).cast("long"), 32).bitwiseOR(_half(F.col(f"f{k}"), seg)).alias("key"), F.col(f"f{(k + 1) % n}").alias("other")) for k in range(n) for seg in (0, 1)]
-    return nodes.select("node", F.explode(F.array(*cells)).alias("s")).select("s.key", "node", "s.other")
+    return nodes.select("node", F.explode(F.array(*cells)).alias("s")).select("s.key", "node", "s.other", F.col("node").alias("c"))
 
 
 def _probes(segments: DataFrame) -> DataFrame:
     """Segments with one clear bit set."""
     masks = F.explode(F.array(*[F.lit(1 << k).cast("long") for k in range(32)])).alias("mask")
-    return segments.select("key", "node", "other", masks).filter(F.col("key").bitwiseAND(F.col("mask")) == 0).select(F.col("key").bitwiseOR(F.col("mask")).alias("key"), "node", "other")
+    return segments.select("key", "node", "other", "c", masks).filter(F.col("key").bitwiseAND(F.col("mask")) == 0).select(F.col("key").bitwiseOR(F.col("mask")).alias("key"), "node", "other", "c")
 
 
 def _met(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
-    """Pairs ``(a, b)`` below one key that are close in another lane; with ``ordered`` each pair from its smaller member."""
-    left = a.select("key", F.col("node").alias("a"), F.col("other").alias("ao"))
-    right = b.select("key", F.col("node").alias("b"), F.col("other").alias("bo"))
-    close = (F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= ACROSS) & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
+    """Pairs ``(a, b)`` below one key that are close in another lane and not known to be joined (``c``); with ``ordered`` each pair from its smaller member."""
+    left = a.select("key", F.col("node").alias("a"), F.col("other").alias("ao"), F.col("c").alias("ac"))
+    right = b.select("key", F.col("node").alias("b"), F.col("other").alias("bo"), F.col("c").alias("bc"))
+    close = (F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= ACROSS) & (F.col("ac") != F.col("bc")) & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
     return left.join(right, "key").filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _stars(members: DataFrame, probes: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs of each key's members with its head, and of what meets a key of more than ``POPULAR`` nodes with its head; a crowded key's rows are dealt to several tasks."""
+    row = ["key", F.col("node").alias("a"), F.col("other").alias("ao")]
+    head = heads.select("key", "b", "bo")
+    popular = heads.filter(F.col("n") > POPULAR).select("key", "b", "bo")
+    met = join_salted(members.select(*row), head, "key", "a", heads.select("key", "n")).unionByName(probes.select(*row).join(hinted(popular, 1 << 17), "key"))
+    return met.filter((F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= ACROSS) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _led(led: DataFrame, leaders: DataFrame) -> DataFrame:
     """Pairs of the members of crowded keys with their keys' leaders, the members of a key dealt to several tasks."""
     salt = F.pmod(F.xxhash64("node"), F.lit(64))
@@ -241,36 +251,46 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: Callable[[DataFrame], D
 def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = 0.8, hot: int = 64) -> DataFrame:
     """The nodes of ``nodes(node, f0, f1, f2, r)`` that go: those that chains of similar pairs join to one of smaller ``r``.
 
-    ``texts`` gives ``(node, s)``, the shingles of the nodes it is given.  Keys of at most ``hot`` nodes are paired up.  For a crowded key,
-    each round takes ``LEADERS`` of its nodes, compares them with all that meet there, and takes out the leaders and all that
+    ``texts`` gives ``(node, s)``, the shingles of the nodes it is given.  First every key's most central node (that
+    whose segments are shared most, which the text that others were made from is) is compared with the others of the key; nodes that chains of such pairs join meet no more, so a group of many near copies costs about a pair a copy and key.  Then
+    keys of at most ``hot`` nodes are paired up.  For a crowded key, each round takes ``LEADERS`` of its nodes, compares them with all that meet there, and takes out the leaders and all that
     proved similar; a key of few enough nodes is paired up then.  So no two nodes that stay are left uncompared below any key.
     """
     segments, _ = materialize(_segments(nodes), "segments")
-    crowd = segments.groupBy("key").count().filter(F.col("count") > hot).select("key")
-    crowded, _ = materialize(crowd, "crowded")
+    counts, _ = materialize(segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2"), "counts")
+    members, _ = materialize(join_salted(segments.select("key", "node", "other"), counts, "key", "node", counts), "members")
+    central = members.groupBy("node").agg(F.sum("n").alias("w"))
+    top = members.join(central, "node").groupBy("key").agg(F.max(F.struct("w", "node", "other")).alias("l"), F.first("n").alias("n"))
+    heads, _ = materialize(top.select("key", F.col("l.node").alias("b"), F.col("l.other").alias("bo"), "n"), "heads")
+    crowded = heads.filter(F.col("n") > hot).select("key")
     some = not crowded.isEmpty()
     keys = hinted(crowded)
+    joined, _ = materialize(connected_components(_verified(_stars(members, _probes(segments), heads), nodes, texts, similarity)), "joined")
+    known = hinted(joined)
+    segments, _ = materialize(segments.drop("c").join(known, "node", "left").select("key", "node", "other", F.coalesce("component", "node").alias("c")), "segments")
     calm = segments.join(keys, "key", "left_anti") if some else segments
     edges = _verified(_met(calm, segments, True).unionByName(_met(calm, _probes(segments), False)), nodes, texts, similarity)
-    gone = _dropped(edges, nodes)
+    gone = _dropped(edges.unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))), nodes)
     if not some:
         return gone
     gone, _ = materialize(gone, "gone")
     out = [gone]
     table, _ = materialize(segments.join(keys, "key", "left_semi").join(gone, "node", "left_anti"), "table")
     visitors, _ = materialize(_probes(segments).join(keys, "key", "left_semi").join(gone, "node", "left_anti"), "visitors")
+    share = LEADERS
     while not table.isEmpty():
         crowded, _ = materialize(table.groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
         keys = hinted(crowded)
         full, calm = table.join(keys, "key", "left_semi"), table.join(keys, "key", "left_anti")
         # the smallest node of each share of a key, found without gathering the key
-        leaders, _ = materialize(full.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min(F.struct("node", "other")).alias("l")).select("key", "l.node", "l.other"), "leaders")
+        leaders, _ = materialize(full.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(share))).agg(F.min(F.struct("node", "other")).alias("l")).select("key", "l.node", "l.other"), "leaders")
         guests = visitors.join(keys, "key", "left_semi")
         pairs = _met(calm, calm, True).unionByName(_met(calm, visitors, False)).unionByName(_led(full.select("key", "node", "other").unionByName(guests.select("key", "node", "other")), leaders))
         gone, _ = materialize(_dropped(_verified(pairs, nodes, texts, similarity), nodes), "gone")
         out.append(gone)
         table, _ = materialize(full.join(gone, "node", "left_anti").join(leaders, ["key", "node"], "left_anti"), "table")
         visitors, _ = materialize(guests.join(gone, "node", "left_anti"), "visitors")
+        share *= 4
     every = out[0]
     for o in out[1:]:
         every = every.unionByName(o)
