@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hashloom.model import from_rows
+from hashloom.operators import blocks as B
 from hashloom.operators import gather as G
 from hashloom.operators import index as X
 from hashloom.operators import overlap as J
@@ -199,3 +200,33 @@ def test_selection(spark):
     assert sk.not_in_manifest(sk.manifest.filter("name = 'a'")).manifest.count() == 1
     assert sk.in_manifest(sk.manifest.filter("name = 'a'")).postings.count() == 2
     assert sk.first().first().sketch_id == "a" and sk.min_max_scaled() == (10, 10) and sk.parameters().count() == 1
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_give_the_pairs_of_the_join(spark, kind, monkeypatch):
+    """Searches by blocks: the rows of the joined search, and no pair is shuffled."""
+    monkeypatch.setattr(B, "MET", 7)
+    rng = random.Random(5)
+    sets = {i * 37 % 101: [(rng.randint(0, 60) - 30) * 10**15 for _ in range(rng.randint(1, 25))] + [5] * (i % 3) for i in range(60)}
+    rows = spark.createDataFrame([(i, h) for i, hs in sets.items() for h in hs], "id long, hash long").select(F.col("id").cast(kind).alias("id"), "hash")
+    some, other = from_rows(rows.filter("id % 2 = 0 or id > 50"), "id", "hash"), from_rows(rows, "id", "hash")
+    monkeypatch.setattr(B.overlaps, "__defaults__", (False, False, 40))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    for search in (lambda by: J.multisearch(other, other, 0.2, ani=True, abund=True, keep_ids=True, by_blocks=by), lambda by: J.multisearch(some, other, 0.2, abund=True, keep_ids=True, by_blocks=by),
+                   lambda by: J.pairwise(other, 0.2, abund=True, keep_ids=True, by_blocks=by), lambda by: J.pairwise(some, 0.2, write_all=True, by_blocks=by)):
+        a, b = key(search(True)), key(search(False))
+        assert a == b and len(a) > 40
+    empty = from_rows(rows.filter("id is null"), "id", "hash")
+    assert J.multisearch(empty, other, by_blocks=True).count() == 0
+
+
+@pytest.mark.parametrize("name", ["pairwise"])
+def test_no_query_shuffles_its_pairs(spark, name, monkeypatch):
+    """The overlaps of the document searches are counted in blocks; none is grouped by pair behind a shuffle."""
+    from hashloom.plans.queries import QUERIES
+
+    def joined(*_, **__):
+        raise AssertionError("pairs of the whole join")
+
+    monkeypatch.setattr(J, "overlaps", joined)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
