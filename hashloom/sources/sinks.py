@@ -10,7 +10,7 @@ import sys
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,10 +127,27 @@ def write_clusters(clusters: DataFrame, path: str, sizes_path: str | None = None
         C.sizes(clusters).write.mode("overwrite").option("header", True).csv(sizes_path)
 
 
+def tenths(value: Column) -> Column:
+    """A double of 0 or more as text with one decimal: the nearest to its exact binary value, a tie to the even digit, as C's printf does.
+
+    Spark's own format rounds the shortest decimal text half up (6.25 to 6.3).  The rest below one is split in two, so that its distance to the
+    middle between two tenths is exact; from 2^50 on, where no tenths are left to round, Spark's format is used.
+    """
+    whole = F.floor(value)
+    rest = value - whole
+    high = F.floor(rest * (1 << 26)) / (1 << 26)
+    digit = F.floor(rest * 10)
+    past = (high * 20 - (digit * 2 + 1)) + (rest - high) * 20  # its sign is exact
+    up = (past > 0) | ((past == 0) & (digit % 2 == 1))
+    n = whole * 10 + digit + F.when(up, 1).otherwise(0)
+    text = F.concat(((n - n % 10) / 10).cast("bigint").cast("string"), F.lit("."), (n % 10).cast("string"))
+    return F.when((value >= 0) & (value < float(1 << 50)), text).otherwise(F.format_string("%.1f", value))
+
+
 def pretty(results: DataFrame) -> DataFrame:
     """Manysearch results as aligned text lines, by query name."""
-    name, percent = F.substring("query_name", 1, 17), F.format_string("%.1f", F.col("containment") * 100)
+    name, percent = F.substring("query_name", 1, 17), tenths(F.col("containment") * 100)
     # a null has a text of its own when it is formatted
-    weighted = F.when(F.col("average_abund").isNull(), "N/A").otherwise(F.format_string("%.1f", "average_abund"))
-    share = F.when(F.col("f_weighted_target_in_query").isNull(), "N/A").otherwise(F.format_string("%.1f%%", F.col("f_weighted_target_in_query") * 100))
+    weighted = F.when(F.col("average_abund").isNull(), "N/A").otherwise(tenths(F.col("average_abund")))
+    share = F.when(F.col("f_weighted_target_in_query").isNull(), "N/A").otherwise(F.concat(tenths(F.col("f_weighted_target_in_query") * 100), F.lit("%")))
     return results.orderBy("query_name", "match_name").select(F.format_string("%-17s %6s%%  %6s     %6s     %s", name, percent, weighted, share, F.col("match_name")).alias("line"))

@@ -2,6 +2,7 @@ import bz2
 import gzip
 import json
 import lzma
+import random
 import subprocess
 import sys
 
@@ -195,3 +196,12 @@ def test_entry_without_extras(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).resolve().parent.parent), timeout=120)
     n, m = json.loads(out.stdout.strip().splitlines()[-1])
     assert n >= 40 and m >= 40
+
+
+def test_pretty_rounds_the_exact_value(spark):
+    """One decimal as printf gives it: ties to the even digit, and 0.35 lies below its tie."""
+    rng = random.Random(3)
+    values = [k / 8 for k in range(801)] + [k / 20 for k in range(2001)] + [100 * a / b for b in range(1, 90) for a in range(b + 1)]
+    values += [rng.random() * 10 ** rng.randint(-9, 12) for _ in range(3000)] + [5e-324, 0.05, 0.95, 9.95, 2.0**49 + 0.25]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", sinks.tenths(F.col("v")).alias("t")).collect()
+    assert [(r.v, r.t) for r in rows if r.t != f"{r.v:.1f}"] == []
