@@ -220,7 +220,7 @@ def test_blocks_give_the_pairs_of_the_join(spark, kind, monkeypatch):
     assert J.multisearch(empty, other, by_blocks=True).count() == 0
 
 
-@pytest.mark.parametrize("name", ["multisearch_ani", "multisearch_cosine", "pairwise", "pairwise_write_all", "cluster", "cluster_members"])
+@pytest.mark.parametrize("name", ["multisearch_ani", "multisearch_cosine", "pairwise", "pairwise_write_all", "cluster", "cluster_members", "cluster_sizes"])
 def test_no_query_shuffles_its_pairs(spark, name, monkeypatch):
     """The overlaps of the document searches are counted in blocks; none is grouped by pair behind a shuffle."""
     from hashloom.plans.queries import QUERIES
