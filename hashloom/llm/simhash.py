@@ -16,7 +16,10 @@ the group and no reachable document is lost (see ``_hot_edges``).
 Dropping near duplicates (``keep_one``) asks for a similarity of word shingles, five words and 0.8 by default, which a distance of three bits
 is far too strict for.  There the same index holds wider fingerprints (192 bits of a text's distinct words, six segments), which
 finds whatever differs in at most eleven bits and most of what differs in a few more; pairs within ``WITHIN`` bits are candidates,
-and the Jaccard similarity of their whole texts' shingles decides.  Crowded keys are worked off in rounds: some members of a key are
+and the Jaccard similarity of their whole texts' shingles decides.  A pair that cannot reach the similarity is left out where the two meet, before
+it is a row: each text carries its number of shingles and, for 512 classes of their hashes, whether it has an odd number in each.  Two shingle sets
+differ in at least as many shingles as these parities differ, so no pair that reaches the similarity is lost; texts of
+far more than 500 shingles fill all classes, and theirs are all looked at.  Crowded keys are worked off in rounds: some members of a key are
 compared with all others of it, what is similar goes, and so on until few enough are left to be paired (see ``similar``).
 
 Inputs are never changed.  Null text counts as empty; a text without words has fingerprint zero
@@ -45,6 +48,8 @@ SPAN = 1 << 16
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd factors that make 64-bit lanes of one hash
 ACROSS = 16  # bits by which a candidate pair may differ in another lane
 WITHIN = 26  # bits by which a candidate pair may differ in all lanes
+PARITIES = 8  # words of 64 parities of shingle classes that a text carries
+FEATURES = [*(f"f{k}" for k in range(len(LANES))), "n", *(f"p{k}" for k in range(PARITIES))]  # what a text carries to each meeting
 POPULAR = 8  # nodes of a key from which on those one bit away are compared with its head first
 LEADERS = 16  # members of a crowded key that the first round compares with all others; each round takes four times as many
 
@@ -174,17 +179,23 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.fromiter((h(b" ".join(words[k : k + size])) for k in range(max(1, len(words) - size + 1) if words else 0)), np.uint64)).view(np.int64)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, h, node, f0, f1, f2)``: the text's hash, that of its words in order, and the lanes."""
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For 512 classes of a set of hashes, a bit each: whether it has an odd number of them; as signed words."""
+    odd = np.bincount(hashes & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(doc_id, h, node, f0, f1, f2, n, p0 ...)``: the text's hash, that of its words in order, the lanes, the number of its shingles and their parities."""
     from xxhash import xxh64_intdigest
 
-    names = ["doc_id", "h", "node", *(f"f{k}" for k in range(len(LANES)))]
+    names = ["doc_id", "h", "node", *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
             words = [utf8(t).translate(LOWER).split() for t in b.column(2).to_pylist()]
             node = np.fromiter((xxh64_intdigest(b" ".join(w)) for w in words), np.uint64).view(np.int64)
-            f = np.array([lanes(w) for w in words], np.int64).reshape(-1, len(LANES))
+            f = np.array([[*lanes(w), len(s := shingles(w, shingle)), *parities(s)] for w in words], np.int64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in f.T)], names)
 
     text = F.col(text_col).cast("string")
@@ -195,21 +206,44 @@ def _segments(nodes: DataFrame) -> DataFrame:
     """``(key, node, other)`` for each 32-bit segment: its number and value as one key, and the next lane."""
     n = len(LANES)
     cells = [F.struct(F.shiftleft(F.lit(2 * k + seg).cast("long"), 32).bitwiseOR(_half(F.col(f"f{k}"), seg)).alias("key"), F.col(f"f{(k + 1) % n}").alias("other")) for k in range(n) for seg in (0, 1)]
-    return nodes.select("node", F.explode(F.array(*cells)).alias("s")).select("s.key", "node", "s.other", F.col("node").alias("c"))
+    return nodes.select("node", F.explode(F.array(*cells)).alias("s")).select("s.key", "node", "s.other")
 
 
 def _probes(segments: DataFrame) -> DataFrame:
     """Segments with one clear bit set."""
+    rest = [c for c in segments.columns if c != "key"]
     masks = F.explode(F.array(*[F.lit(1 << k).cast("long") for k in range(32)])).alias("mask")
-    return segments.select("key", "node", "other", "c", masks).filter(F.col("key").bitwiseAND(F.col("mask")) == 0).select(F.col("key").bitwiseOR(F.col("mask")).alias("key"), "node", "other", "c")
+    return segments.select("key", *rest, masks).filter(F.col("key").bitwiseAND(F.col("mask")) == 0).select(F.col("key").bitwiseOR(F.col("mask")).alias("key"), *rest)
+
+
+def _differing(names: list[str]) -> Column:
+    """In how many bits columns ``a...`` and ``b...`` differ."""
+    return sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in names[1:]), F.bit_count(F.col(f"a{names[0]}").bitwiseXOR(F.col(f"b{names[0]}"))))
+
+
+def _possible(similarity: float) -> Column:
+    """Whether features ``a...`` and ``b...`` are within ``WITHIN`` bits and allow the similarity: sets of ``similarity`` t differ in at most (1 - t) / (1 + t) of their sizes' sum."""
+    differ = F.greatest(_differing([f for f in FEATURES if f[0] == "p"]).cast("long"), F.abs(F.col("an") - F.col("bn")))
+    return (_differing([f for f in FEATURES if f[0] == "f"]) <= WITHIN) & (differ * (1 + similarity) <= (F.col("an") + F.col("bn")) * (1 - similarity) + 1e-6)
 
 
-def _met(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
-    """Pairs ``(a, b)`` below one key that are close in another lane and not known to be joined (``c``); with ``ordered`` each pair from its smaller member."""
-    left = a.select("key", F.col("node").alias("a"), F.col("other").alias("ao"), F.col("c").alias("ac"))
-    right = b.select("key", F.col("node").alias("b"), F.col("other").alias("bo"), F.col("c").alias("bc"))
-    close = (F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= ACROSS) & (F.col("ac") != F.col("bc")) & (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
-    return left.join(right, "key").filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _sided(df: DataFrame, side: str, *rest: str) -> DataFrame:
+    """``key``, the node as ``side`` and its features and component with that letter before their names."""
+    return df.select("key", *rest, F.col("node").alias(side), *[F.col(f).alias(f"{side}{f}") for f in [*FEATURES, "c"] if f in df.columns])
+
+
+def _across() -> Column:
+    """Whether the lane after the one that the key is of is close too."""
+    n, lane = len(LANES), F.shiftright("key", 33)
+    bits = [F.bit_count(F.col(f"af{k}").bitwiseXOR(F.col(f"bf{k}"))) for k in range(n)]
+    return F.when(lane == 0, bits[1]).when(lane == 1, bits[2]).otherwise(bits[0]) <= ACROSS
+
+
+def _met(a: DataFrame, b: DataFrame, ordered: bool, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` below one key that are close, may be similar and are not known to be joined (``c``); with ``ordered`` each pair from its smaller member."""
+    order = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
+    met = _sided(a, "a").join(_sided(b, "b"), "key").filter(order & (F.col("ac") != F.col("bc")) & _across() & _possible(similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _stars(members: DataFrame, probes: DataFrame, heads: DataFrame) -> DataFrame:
@@ -221,22 +255,20 @@ def _stars(members: DataFrame, probes: DataFrame, heads: DataFrame) -> DataFrame
     return met.filter((F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= ACROSS) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _led(led: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs of the members of crowded keys with their keys' leaders, the members of a key dealt to several tasks."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(64))
-    right = leaders.select("key", F.col("node").alias("b"), F.col("other").alias("bo"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("salt"))
-    met = led.select("key", salt.alias("salt"), F.col("node").alias("a"), F.col("other").alias("ao")).join(right, ["key", "salt"])
-    return met.filter((F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= ACROSS) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _led(led: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the members of crowded keys with their keys' leaders that are close and may be similar, the members of a key dealt to several tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(64)).alias("salt")
+    right = _sided(leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))), "b", "salt")
+    met = _sided(led.withColumn("salt", salt), "a", "salt").join(right, ["key", "salt"])
+    return met.filter((F.col("a") != F.col("b")) & _across() & _possible(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs whose lanes are close and whose shingles are similar, as edges ``(src, dst)``."""
-    lanes_of = [f"f{k}" for k in range(len(LANES))]
     once, _ = materialize(pairs.distinct(), "candidates")
-    a = join_salted(once, nodes.select(F.col("node").alias("a"), *lanes_of), "a", "b").select("a", "b", *[F.col(f).alias(f"a{f}") for f in lanes_of])
-    near = join_salted(materialize(a, "sides")[0], nodes.select(F.col("node").alias("b"), *lanes_of), "b", "a")
-    bits = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"a{f}"))) for f in lanes_of[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("af0"))))
-    close, _ = materialize(near.filter(bits <= WITHIN).select("a", "b"), "close")
+    a = join_salted(once, nodes.select(F.col("node").alias("a"), *[F.col(f).alias(f"a{f}") for f in FEATURES]), "a", "b")
+    near = join_salted(materialize(a, "sides")[0], nodes.select(F.col("node").alias("b"), *[F.col(f).alias(f"b{f}") for f in FEATURES]), "b", "a")
+    close, _ = materialize(near.filter(_possible(similarity)).select("a", "b"), "close")
     if close.isEmpty():
         return close.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     held, _ = materialize(texts(close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()), "shingles")
@@ -249,7 +281,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: Callable[[DataFrame], D
 
 
 def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = 0.8, hot: int = 64) -> DataFrame:
-    """The nodes of ``nodes(node, f0, f1, f2, r)`` that go: those that chains of similar pairs join to one of smaller ``r``.
+    """The nodes of ``nodes(node, f0, f1, f2, n, p0 ..., r)`` that go: those that chains of similar pairs join to one of smaller ``r``.
 
     ``texts`` gives ``(node, s)``, the shingles of the nodes it is given.  First every key's most central node (that
     whose segments are shared most, which the text that others were made from is) is compared with the others of the key; nodes that chains of such pairs join meet no more, so a group of many near copies costs about a pair a copy and key.  Then
@@ -266,26 +298,31 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
     some = not crowded.isEmpty()
     keys = hinted(crowded)
     joined, _ = materialize(connected_components(_verified(_stars(members, _probes(segments), heads), nodes, texts, similarity)), "joined")
-    known = hinted(joined)
-    segments, _ = materialize(segments.drop("c").join(known, "node", "left").select("key", "node", "other", F.coalesce("component", "node").alias("c")), "segments")
-    calm = segments.join(keys, "key", "left_anti") if some else segments
-    edges = _verified(_met(calm, segments, True).unionByName(_met(calm, _probes(segments), False)), nodes, texts, similarity)
+    known, _ = materialize(nodes.join(hinted(joined), "node", "left").select("node", *FEATURES, F.coalesce("component", "node").alias("c")), "known")
+    narrow = segments.select("key", "node")
+    calm = narrow.join(keys, "key", "left_anti") if some else narrow
+    # only what meets something gets its features: probes of keys that exist, then members that are probed or not alone
+    guests, _ = materialize(_probes(narrow).join(calm.select("key"), "key", "left_semi").join(known, "node"), "guests")
+    busy = guests.select("key").unionByName(calm.groupBy("key").count().filter("count > 1").select("key")).distinct()
+    own, _ = materialize(calm.join(busy, "key", "left_semi").join(known, "node"), "own")
+    edges = _verified(_met(own, own, True, similarity).unionByName(_met(own, guests, False, similarity)), nodes, texts, similarity)
     gone = _dropped(edges.unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))), nodes)
     if not some:
         return gone
     gone, _ = materialize(gone, "gone")
     out = [gone]
-    table, _ = materialize(segments.join(keys, "key", "left_semi").join(gone, "node", "left_anti"), "table")
-    visitors, _ = materialize(_probes(segments).join(keys, "key", "left_semi").join(gone, "node", "left_anti"), "visitors")
+    staying = known.join(gone, "node", "left_anti")
+    table, _ = materialize(narrow.join(keys, "key", "left_semi").join(staying, "node"), "table")
+    visitors, _ = materialize(_probes(narrow).join(keys, "key", "left_semi").join(staying, "node"), "visitors")
     share = LEADERS
     while not table.isEmpty():
         crowded, _ = materialize(table.groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
         keys = hinted(crowded)
         full, calm = table.join(keys, "key", "left_semi"), table.join(keys, "key", "left_anti")
         # the smallest node of each share of a key, found without gathering the key
-        leaders, _ = materialize(full.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(share))).agg(F.min(F.struct("node", "other")).alias("l")).select("key", "l.node", "l.other"), "leaders")
+        leaders, _ = materialize(full.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(share))).agg(F.min(F.struct("node", *FEATURES)).alias("l")).select("key", "l.*"), "leaders")
         guests = visitors.join(keys, "key", "left_semi")
-        pairs = _met(calm, calm, True).unionByName(_met(calm, visitors, False)).unionByName(_led(full.select("key", "node", "other").unionByName(guests.select("key", "node", "other")), leaders))
+        pairs = _met(calm, calm, True, similarity).unionByName(_met(calm, visitors, False, similarity)).unionByName(_led(full.drop("c").unionByName(guests.drop("c")), leaders, similarity))
         gone, _ = materialize(_dropped(_verified(pairs, nodes, texts, similarity), nodes), "gone")
         out.append(gone)
         table, _ = materialize(full.join(gone, "node", "left_anti").join(leaders, ["key", "node"], "left_anti"), "table")
@@ -312,9 +349,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     stays; in a crowd (see ``similar``) a text goes if it is similar to one that was kept.  Of rows that share id and text one stays,
     the first by the hash of all columns.
     """
-    marked, _ = materialize(described(docs, id_col, text_col), "described")
+    marked, _ = materialize(described(docs, id_col, text_col, shingle), "described")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    texts_of = marked.groupBy("node", *[f"f{k}" for k in range(len(LANES))]).agg(F.min(rank).alias("r"))
+    texts_of = marked.groupBy("node", *FEATURES).agg(F.min(rank).alias("r"))
     nodes, _ = materialize(texts_of, "nodes")
     text = F.col(text_col).cast("string")
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -134,3 +135,26 @@ def test_other_columns_and_repeated_rows(spark):
     got = simhash.keep_one(docs).collect()
     assert sorted(r.doc_id for r in got) == [1, 3] and all(tuple(r) in rows for r in got)
     assert {tuple(r) for r in simhash.keep_one(docs.repartition(3)).collect()} == {tuple(r) for r in got}
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    bits = lambda a: np.unpackbits(a.view(np.uint8), bitorder="little")
+    for n in (0, 1, 30, 400, 5000):
+        a = rng.integers(-(2**63), 2**63, n)
+        b = np.concatenate([a[n // 5 :], rng.integers(-(2**63), 2**63, n // 3)])
+        differ = int((bits(simhash.parities(a)) != bits(simhash.parities(b))).sum())
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist())) and (differ > 0) == (n > 2)
+
+
+def test_pairs_that_cannot_be_similar_are_no_rows(spark, monkeypatch):
+    """Texts of one family, most of them less similar than 0.8: only pairs that may reach it leave the meeting, and none that does is lost."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join(edited(rnd, base, 0.035)) for _ in range(60)]
+    met = []
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: (met.append(pairs.distinct().count()), verified(pairs, *rest))[1])
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, list(enumerate(texts)))).collect()}
+    par, find = plain_groups(texts)
+    assert {k for k in range(60) if find(k) == k} <= kept and len(met) == 2 and met[1] < 200, met
