@@ -230,3 +230,27 @@ def test_no_query_shuffles_its_pairs(spark, name, monkeypatch):
 
     monkeypatch.setattr(J, "overlaps", joined)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def _clique(spark, monkeypatch, names=300):
+    """Clusters of a table that links every two of ``names`` texts and a chain, and how many edges they were found from."""
+    from hashloom.operators import cluster as C
+
+    rows = [(f"n{a:03} x", f"n{b:03} x", 0.9) for a in range(names) for b in range(a)] + [(f"c{k}", f"c{k + 1}", 0.7 if k % 3 else 0.1) for k in range(8)]
+    random.Random(3).shuffle(rows)
+    made = []
+    plain = C.connected_components
+    monkeypatch.setattr(C, "connected_components", lambda edges: (made.append(edges.count()), plain(edges))[1])
+    table = spark.createDataFrame(rows, "query_name string, match_name string, jaccard double").repartition(2)
+    return C.cluster(table, "jaccard", 0.6), made
+
+
+@pytest.mark.parametrize("most", [1 << 18, 40])
+def test_members_come_from_a_forest_of_the_pairs(spark, monkeypatch, most):
+    """44,850 linked pairs of 300 names: a task hands on a row for each name, and the members are those of all pairs."""
+    from hashloom.operators import cluster as C
+
+    monkeypatch.setattr(C, "NAMES", most)
+    found, made = _clique(spark, monkeypatch)
+    want = {";".join(f"n{k:03}" for k in range(300)), "c0", "c1;c2;c3", "c4;c5;c6", "c7;c8"}
+    assert {r.nodes for r in members(found).collect()} == want and (made[0] <= 2 * 309 or most == 40)
