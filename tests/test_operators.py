@@ -254,3 +254,8 @@ def test_members_come_from_a_forest_of_the_pairs(spark, monkeypatch, most):
     found, made = _clique(spark, monkeypatch)
     want = {";".join(f"n{k:03}" for k in range(300)), "c0", "c1;c2;c3", "c4;c5;c6", "c7;c8"}
     assert {r.nodes for r in members(found).collect()} == want and (made[0] <= 2 * 309 or most == 40)
+
+
+def test_sizes_come_from_a_forest_of_the_pairs(spark, monkeypatch):
+    found, made = _clique(spark, monkeypatch, 200)
+    assert {(r.cluster_size, r["count"]) for r in sizes(found).collect()} == {(200, 1), (1, 1), (3, 2), (2, 1)} and made[0] <= 2 * 209
