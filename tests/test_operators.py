@@ -259,3 +259,22 @@ def test_members_come_from_a_forest_of_the_pairs(spark, monkeypatch, most):
 def test_sizes_come_from_a_forest_of_the_pairs(spark, monkeypatch):
     found, made = _clique(spark, monkeypatch, 200)
     assert {(r.cluster_size, r["count"]) for r in sizes(found).collect()} == {(200, 1), (1, 1), (3, 2), (2, 1)} and made[0] <= 2 * 209
+
+
+def test_sizes_keep_one_copy_of_the_postings(spark):
+    """When the blocks are stored, the postings they were dealt from and the shuffle files of both writings are gone."""
+    import time
+    from pathlib import Path
+
+    rows = spark.createDataFrame([(f"s{k % 40}", k // 3) for k in range(4000)], "id string, hash long")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "hashloom"
+    held = lambda: {p.name for p in shared.glob("postings-*")}
+    folders = [Path(f.getPath()) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p.name for f in folders for p in f.rglob("shuffle_*.data")}
+    before, files = held(), shuffled()
+    blocks, _ = B._stored(from_rows(rows, "id", "hash"), 500)
+    for _ in range(20):  # the files go in the background
+        if (left := len(shuffled() - files)) <= 2:  # of the counting, by sketch and over all
+            break
+        time.sleep(0.1)
+    assert held() == before and left <= 2 and len({r.block for r in blocks.select("block").collect()}) > 1
