@@ -278,3 +278,20 @@ def test_sizes_keep_one_copy_of_the_postings(spark):
             break
         time.sleep(0.1)
     assert held() == before and left <= 2 and len({r.block for r in blocks.select("block").collect()}) > 1
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_few_edges_take_one_write(spark, kind, monkeypatch):
+    """A small table is settled without rounds, and gives what the rounds give."""
+    from hashloom.plans import graph
+
+    rnd = random.Random(4)
+    rows = [(rnd.randint(-90, 400), rnd.randint(-90, 400)) for _ in range(220)] + [(k, k + 1) for k in range(500, 600)] + [(7, 7), (1000, 1000), (None, 3)]
+    df = spark.createDataFrame(rows, "src long, dst long").select(*[F.col(c).cast(kind) for c in ("src", "dst")])
+    rounds = []
+    plain = graph._small_star
+    monkeypatch.setattr(graph, "_small_star", lambda e: (rounds.append(1), plain(e))[1])
+    few = sorted(map(tuple, connected_components(df).collect()))
+    assert not rounds
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert few == sorted(map(tuple, connected_components(df).collect())) and rounds
