@@ -117,3 +117,22 @@ def test_params():
 def test_idents(spark):
     assert spark.createDataFrame([("a b c",), ("x",)], "n string").select(metrics.ident(F.col("n")).alias("i")).toPandas()["i"].tolist() == ["a", "x"]
     assert len(list(itertools.chain(params.DEFAULTS))) == 6
+
+
+def test_md5_of_stretches():
+    """First 64 bits as hashlib gives them, for every length up to two blocks."""
+    import hashlib
+
+    text = np.random.default_rng(3).integers(0, 256, 400).astype(np.uint8)
+    starts, lengths = np.array([k % 270 for k in range(260)]), np.array([k % 130 for k in range(260)])
+    want = [int(hashlib.md5(text[a : a + n].tobytes()).hexdigest()[:16], 16) for a, n in zip(starts, lengths, strict=True)]
+    assert hashing.md5_64(text, starts, lengths, 100).tolist() == want
+
+
+def test_rounded_is_round(spark):
+    rng = np.random.default_rng(4)
+    values = [None, math.nan, math.inf, -math.inf, -0.0, 0.0, -0.1234567895, 1e300, 12345.6789012345678, 3.0, 9.9999999999, 1 / 3, 2 / 3]
+    values += [a / b for b in (1024, 2048, 5120, 10240, 51200, 999) for a in range(1, 200)] + [k / 1e10 for k in range(5, 4000, 10)] + rng.random(2000).tolist() + (rng.random(200) * 1e6).tolist()
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (6, 9):
+        assert not df.select(F.round("x", digits).alias("a"), metrics.rounded(F.col("x"), digits).alias("b")).filter("not (a <=> b)").collect()

@@ -295,3 +295,36 @@ def test_components_of_few_edges_take_one_write(spark, kind, monkeypatch):
     assert not rounds
     monkeypatch.setattr(graph, "FEW", 0)
     assert few == sorted(map(tuple, connected_components(df).collect())) and rounds
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_shingles_against_plain_python(spark, n, monkeypatch):
+    """Shingles of odd texts as their definition gives them, and not one md5 expression for each use of the hash in the plan."""
+    import hashlib
+    import re
+
+    from hashloom.plans import views as V
+
+    monkeypatch.setattr(V, "BYTES", 40)
+    texts = [None, "", "one", "a b", "A b C", "x" * 70 + " y " + "z" * 9, "re-peat re peat RE.peat re peat", " é1 b c_3 İK Ωd 4  ", "end", "start of the next"] * 3 + ["q w e " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    low = {r.k: r.text or "" for r in df.select("k", F.lower("text").alias("text")).collect()}
+    want = Counter((k, int(hashlib.md5(" ".join(w[i : i + n]).encode()).hexdigest()[:15], 16)) for k, x in low.items() for w in [re.findall("[a-z0-9]+", x)] for i in range(len(w) - n + 1))
+    got = V.shingle_rows(df, "k", n=n)
+    assert Counter(map(tuple, got.collect())) == want
+    assert "md5" not in got.filter("hash > 5")._jdf.queryExecution().toString()
+    few = Counter(map(tuple, V.shingle_rows(df.repartition(3), "k", n=n, scaled=3).collect()))
+    assert few == Counter({k: c for k, c in want.items() if k[1] <= (1 << 60) // 3})
+
+
+@pytest.mark.parametrize("name", ["pairwise"])
+def test_pairs_leave_their_task_in_few_columns(spark, name, monkeypatch):
+    """What a task hands on of a pair is what the query gives or measures, no names and digests."""
+    from hashloom.plans.queries import QUERIES
+
+    given = []
+    plain = B.overlaps
+    monkeypatch.setattr(B, "overlaps", lambda *a, **k: (given.append(plain(*a, **k)), given[0])[1])
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").columns[:2] == ["query_id", "match_id"]
+    more = {"multisearch_ani": {"q_ksize"}, "multisearch_cosine": {"dot", "q_square", "m_square", "q_with_abundance", "m_with_abundance"}}
+    assert set(given[0].columns) == {"query_id", "match_id", "ov", "q_n", "m_n"} | more.get(name, set())
