@@ -317,7 +317,7 @@ def test_shingles_against_plain_python(spark, n, monkeypatch):
     assert few == Counter({k: c for k, c in want.items() if k[1] <= (1 << 60) // 3})
 
 
-@pytest.mark.parametrize("name", ["multisearch_ani", "pairwise", "pairwise_write_all"])
+@pytest.mark.parametrize("name", ["multisearch_ani", "multisearch_cosine", "pairwise", "pairwise_write_all"])
 def test_pairs_leave_their_task_in_few_columns(spark, name, monkeypatch):
     """What a task hands on of a pair is what the query gives or measures, no names and digests."""
     from hashloom.plans.queries import QUERIES
