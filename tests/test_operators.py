@@ -328,3 +328,26 @@ def test_pairs_leave_their_task_in_few_columns(spark, name, monkeypatch):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").columns[:2] == ["query_id", "match_id"]
     more = {"multisearch_ani": {"q_ksize"}, "multisearch_cosine": {"dot", "q_square", "m_square", "q_with_abundance", "m_with_abundance"}}
     assert set(given[0].columns) == {"query_id", "match_id", "ov", "q_n", "m_n"} | more.get(name, set())
+
+
+@pytest.mark.parametrize("name", ["cluster", "cluster_members", "cluster_sizes"])
+def test_clusters_come_without_rows_of_pairs(spark, name, monkeypatch):
+    from hashloom.plans.queries import QUERIES
+
+    monkeypatch.setattr(B, "_search", None)
+    monkeypatch.setattr(J, "pairwise", None)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("column", ["jaccard", "containment", "max_containment", "average_containment", "cosine", "max_containment_ani"])
+def test_clusters_of_sketches_are_those_of_their_pairs(spark, column, monkeypatch):
+    from hashloom.operators.cluster import cluster_sketches
+
+    rnd = random.Random(8)
+    base = [[rnd.randint(0, 4000) for _ in range(30)] for _ in range(12)]
+    sk = make(spark, {f"s{k}": rnd.sample(base[k % 12], rnd.randint(12, 30)) + [5] * (k % 4 == 0) for k in range(70)} | {"none": [], "alone": [-1]})
+    monkeypatch.setattr(B, "MET", 50)
+    monkeypatch.setattr(B.links, "__defaults__", (200,))
+    key = lambda df: sorted(tuple(r) for r in df.select("name", "cluster", "component").collect())
+    found = key(cluster_sketches(sk, column, 0.7, 0.05))
+    assert found == key(cluster(J.pairwise(sk, 0.05, ani=True, abund=True), column, 0.7)) and 1 < len({c for _, c, _ in found}) < len(found)
